@@ -29,7 +29,7 @@ RULES = (
     Rule("few_words", 0, "n_words < 50"),
     Rule("repeated_windows", 1, "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", 2, "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", 3, "100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", 3, "100 * n_dup_lines > 45 * n_lines"),
     Rule("short_words", 4, "word_chars < 2 * n_words"),
     Rule("long_words", 5, "word_chars > 18 * n_words"),
     Rule("capitals", 6, "100 * n_capitals > 40 * word_chars"),

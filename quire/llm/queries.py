@@ -65,7 +65,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[
       (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
       len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals FROM w LEFT JOIN r USING (k)),
 f AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
-      + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 18 * n_words)::INT
+      + 8 * (100 * n_dup_lines > 45 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 18 * n_words)::INT
       + 64 * (100 * n_capitals > 40 * word_chars)::INT AS failed FROM m)
 """
 
