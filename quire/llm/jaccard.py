@@ -39,9 +39,11 @@ NUM, DEN = 3, 4
 SMALL = 64
 #: Sets that share a key from which it is hot.
 HOT = 64
-SKETCH_BITS = 2048
+SKETCH_BITS = 1024
 #: Keys for a bucket, about: it is sorted by one task at once.
-BUCKET_KEYS = 400_000
+BUCKET_KEYS = 1_200_000
+#: Up to so many document ids, as counted, are broadcast to pick texts out; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -105,28 +107,43 @@ def slack(size: int) -> int:
     return size * (DEN - NUM) // NUM
 
 
-def sketch(own: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def sketch(own: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def long_bits(size: int) -> int:
+    """Bits of the sketch that is compared last: enough for the most that partners of this size differ by to stand out."""
+    return max(SKETCH_BITS, 1 << (size - 1).bit_length()) if size else SKETCH_BITS
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two sketches; the longer one is folded to the shorter's length, which keeps it a lower bound."""
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(s.reshape(-1, n), axis=0) for s in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, node, blocks (non-empty ones in its own band)."""
+    """doc_id, n_shingles, node, blocks (non-empty ones in its own band), sketch (array of longs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = SKETCH_BITS // 64
         for batch in common.text_slices(batches, "text"):
             hashes, cuts = shingle_sets(batch.column("text"), width)
-            blocks = [len(block_keys(hashes[a:b], band_of(b - a))) if b > a else 0 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            size = np.diff(cuts)
-            for n, k in zip(size.tolist(), blocks, strict=True):
-                if n and k <= slack(n):
-                    raise RuntimeError(f"a set of {n} shingles has {k} blocks; raise blocks_in()")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), common.longs(size), common.longs(nodes_of(hashes, cuts)), common.longs(np.array(blocks))], names=["doc_id", "n_shingles", "node", "blocks"])
+            size, blocks, bits = np.diff(cuts), [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                blocks.append(len(block_keys(hashes[a:b], band_of(b - a))) if b > a else 0)
+                bits.append(np.frombuffer(sketch(hashes[a:b]), np.int64))
+                if b > a and blocks[-1] <= slack(b - a):
+                    raise RuntimeError(f"a set of {b - a} shingles has {blocks[-1]} blocks; raise blocks_in()")
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) * longs + 1, longs), pa.int32()), pa.array(np.concatenate(bits)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), common.longs(size), common.longs(nodes_of(hashes, cuts)), common.longs(np.array(blocks)), flat], names=["doc_id", "n_shingles", "node", "blocks", "sketch"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id bigint, n_shingles bigint, node bigint, blocks bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id bigint, n_shingles bigint, node bigint, blocks bigint, sketch array<bigint>")
 
 
 def key_rows(docs: DataFrame, id_col: str, text_col: str, width: int, buckets: int) -> DataFrame:
-    """Keys of all sets, dealt into buckets: (bucket, keys: u32 each, owners: u16 index into nodes with the high bit for keys of the set's own band, nodes)."""
+    """Keys of all sets, dealt into buckets: (bucket, keys: u32 each, and runs of keys of one set and band: nodes, and runs: u16 length with the high bit for the set's own band)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "text"):
@@ -151,14 +168,15 @@ def key_rows(docs: DataFrame, id_col: str, text_col: str, width: int, buckets: i
             first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
             out: list[list] = [[], [], [], []]
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(to)], strict=True):
-                used, at = np.unique(owner[a:b] & np.uint16(0x7FFF), return_inverse=True)
+                own = owner[a:b]  # in runs, as the sort is stable
+                start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 out[0].append(int(to[a]))
                 out[1].append((key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                out[2].append((at.astype(np.uint16) | owner[a:b] & np.uint16(0x8000)).tobytes())
-                out[3].append(nodes[used].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "keys", "owners", "nodes"])
+                out[2].append((np.diff(np.append(start, len(own))).astype(np.uint16) | own[start] & np.uint16(0x8000)).tobytes())
+                out[3].append(nodes[own[start] & np.uint16(0x7FFF)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "keys", "runs", "nodes"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "bucket int, keys binary, owners binary, nodes binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "bucket int, keys binary, runs binary, nodes binary")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -167,11 +185,11 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     def bucket(table: pa.Table) -> pa.Table:
         number = table.column("bucket")[0].as_py()
         key, node, own = [], [], []
-        for k, o, n in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "nodes")), strict=True):
-            o, n = np.frombuffer(o, np.uint16), np.frombuffer(n, np.uint64)
+        for k, r, n in zip(*(table.column(c).to_pylist() for c in ("keys", "runs", "nodes")), strict=True):
+            r, n = np.frombuffer(r, np.uint16), np.frombuffer(n, np.uint64)
             key.append(np.frombuffer(k, np.uint32))
-            node.append(n[o & np.uint16(0x7FFF)])
-            own.append(o >> np.uint16(15))
+            node.append(np.repeat(n, r & np.uint16(0x7FFF)))
+            own.append(np.repeat((r >> np.uint16(15)).astype(np.uint8), r & np.uint16(0x7FFF)))
         k, n, o = np.concatenate(key), np.concatenate(node).view(np.int64), np.concatenate(own)
         order = np.lexsort((n, k))
         k, n, o = k[order], n[order], o[order]
@@ -196,42 +214,42 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     def sets(batches):
         for batch in common.text_slices(batches, "text"):
             hashes, cuts = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("want"), pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())], names=["want", "hashes"])
+            own = [hashes[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("want"), common.longs(np.diff(cuts)), pa.array([sketch(x, long_bits(len(x))) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["want", "n", "bits", "hashes"])
 
+    wanted = common.shared_table(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select(F.col(id_col).cast("bigint").alias("want"), F.col(text_col).alias("text")).join(wanted, "want")
-    found = common.shared_table(texts.mapInArrow(sets, "want bigint, hashes binary"), "sets")
+    found = common.shared_table(texts.mapInArrow(sets, "want bigint, n bigint, bits binary, hashes binary"), "sets")
 
-    def test(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(DEN * n >= NUM * (len(x) + len(y) - n))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def tested(pairs: DataFrame, columns: list[str], holds) -> DataFrame:
+        """Pairs for which holds(x's columns, y's columns)."""
 
-    both = pairs.join(found.select(F.col("want").alias("a"), F.col("hashes").alias("x")), "a").join(found.select(F.col("want").alias("b"), F.col("hashes").alias("y")), "b")
-    return common.shared_table(both.select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint").distinct(), "verified")
+        def test(batches):
+            for batch in batches:
+                x, y = (list(zip(*(batch.column(f"{side}_{c}") for c in columns), strict=True)) for side in "xy")
+                ok = [holds(*[[v.as_py() if c == "n" else np.frombuffer(v.as_buffer(), np.uint64) for c, v in zip(columns, one, strict=True)] for one in each]) for each in zip(x, y, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+        side = lambda own, s: found.select(F.col("want").alias(own), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", *[f"{s}_{c}" for s in "xy" for c in columns])
+        return both.mapInArrow(test, "a bigint, b bigint").distinct()
 
-def may_link(a: str, b: str) -> str:
-    """SQL: sizes fit and the sketches are near enough."""
-    near = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_BITS // 64))
-    return f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n) and {DEN + NUM} * ({near}) <= {DEN - NUM} * ({a}.n + {b}.n)"
+    def near(x, y):
+        return (DEN + NUM) * distance(x[1], y[1]) <= (DEN - NUM) * (x[0] + y[0])
 
+    def links(x, y):
+        n = len(np.intersect1d(x[0], y[0], assume_unique=True))
+        return DEN * n >= NUM * (len(x[0]) + len(y[0]) - n)
 
-def sketches(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """node, n, rep, blocks, sketch (array of longs) of each node that shares a key."""
+    left = common.shared_table(tested(pairs, ["n", "bits"], near), "near")
+    return common.shared_table(tested(left, ["hashes"], links), "verified")
 
-    def rows(batches):
-        for batch in common.text_slices(batches, "text"):
-            hashes, cuts = shingle_sets(batch.column("text"), width)
-            bits = [np.frombuffer(sketch(hashes[a:b]), np.int64) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) * SKETCH_BITS // 64 + 1, SKETCH_BITS // 64), pa.int32()), pa.array(np.concatenate(bits)))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "n", "rep", "blocks")] + [flat], names=["node", "n", "rep", "blocks", "sketch"])
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("text"))
-    return texts.join(nodes, "rep").select("node", "n", "rep", "blocks", "text").mapInArrow(rows, "node bigint, n bigint, rep bigint, blocks bigint, sketch array<bigint>")
+def may_link(a: str, b: str) -> str:
+    """SQL: sizes fit and the sketches are near enough."""
+    near = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_BITS // 64))
+    return f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n) and {DEN + NUM} * ({near}) <= {DEN - NUM} * ({a}.n + {b}.n)"
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame]:
@@ -240,28 +258,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     keys = key_rows(docs, id_col, text_col, width, max(1, int(total * 0.8) // bucket_keys))
     shared = common.shared_table(shared_keys(keys), "shared")
-    sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("blocks").alias("blocks"))
+    sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(d) for c, d in (("n_shingles", "n"), ("blocks", "blocks"), ("sketch", "sketch"))])
     sets = common.shared_table(sets, "sets_of")
-    # what meets: its representative, sketch and size
-    wanted = sets.join(shared.select("node").distinct(), "node", "left_semi")
-    known = common.shared_table(sketches(wanted, docs, id_col, text_col, width).dropDuplicates(["node"]), "sketches")
+    known = common.shared_table(sets.join(shared.select("node").distinct(), "node", "left_semi"), "known")
     side = lambda x: known.select(F.col("node").alias(f"{x}_node"), F.struct("n", "rep", "sketch").alias(x))
     pairs = shared.where("node != least").select(F.col("node").alias("p_node"), F.col("least").alias("q_node")).distinct()
     pairs = pairs.join(side("p"), "p_node").join(side("q"), "q_node").where(may_link("p", "q")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
-    links = verified(pairs, docs, id_col, text_col, width)
+    links = verified(common.shared_table(pairs, "candidates"), docs, id_col, text_col, width)
     found = connected_components(links)
-    # keys that still span components; hot ones are searched only by sets that need them
-    label = known.select("node", "rep", "n", "blocks", "sketch").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    label = common.shared_table(label, "labels")
-    rest = shared.join(label.select("node", "component"), "node")
-    open_keys = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    # keys that still span components and are cold, or searched by a set that needs its hot keys
+    label = known.select("node", "rep", "n", "blocks").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     hot = shared.where(f"own and sets > {HOT}").groupBy("node").agg(F.count("*").alias("hot"))
-    need = label.join(hot, "node").where(F.col("hot") >= F.col("blocks") - F.floor(F.col("n") * (DEN - NUM) / NUM)).select("node", F.lit(True).alias("searches"))
-    rest = shared.join(open_keys, "key", "left_semi").join(need, "node", "left").join(label.select("node", F.struct("n", "rep", "component", "sketch").alias("x")), "node")
-    rest = common.shared_table(rest.select("key", "sets", F.coalesce("searches", F.lit(False)).alias("searches"), "x"), "open")
-    p = rest.where(f"sets <= {HOT} or searches").select("key", F.col("x").alias("p"))
-    q = rest.select("key", F.col("x").alias("q"))
-    more = p.join(q, (p["key"] == q["key"]) & F.expr(f"p.component != q.component and {may_link('p', 'q')}"))
+    need = F.coalesce("hot", F.lit(0)) >= F.col("blocks") - F.floor(F.col("n") * (DEN - NUM) / NUM)
+    label = common.shared_table(label.join(hot, "node", "left").select("node", "component", need.alias("searches")), "labels")
+    rest = shared.select("key", "node", "sets").join(label, "node")
+    rest = common.shared_table(rest, "labelled")
+    spans = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("sets").alias("sets"), F.bool_or("searches").alias("searched"))
+    spans = spans.where(f"lo != hi and (sets <= {HOT} or searched)").select("key")
+    rest = rest.join(spans, "key", "left_semi").join(known.select("node", F.struct("n", "rep", "sketch").alias("x")), "node")
+    p = rest.where(f"sets <= {HOT} or searches").select(F.col("key").alias("k"), F.col("component").alias("c"), F.col("x").alias("p"))
+    q = rest.select("key", "component", F.col("x").alias("q"))
+    more = p.join(q, (F.col("k") == F.col("key")) & F.expr(f"c != component and {may_link('p', 'q')}"))
     more = common.shared_table(more.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct(), "more")
     links = links.unionByName(verified(more, docs, id_col, text_col, width))
     found = connected_components(links)

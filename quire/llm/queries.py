@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, jaccard, mixing, quality, wavelet
+from quire.llm import chains, common, decontam, jaccard, maxent, mixing, pii, quality, secrets, urls, wavelet
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)), urls.RULES, keep=("page_id",))
+
+
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,24 +36,49 @@ def ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation(quality.ledger(read(spark, sf_dir, "documents")))
 
 
+def op4_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+
+
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.passages(read(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(read(spark, sf_dir, "documents"))[0]
 
 
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secrets.Ledger(spark, common.new_path(spark, "ledger"))
+    paths = ledger.scan(read(spark, sf_dir, "documents"))
+    return secrets.digest(secrets.per_path(paths, ledger.findings(secrets.RULES)))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.surrogates(read(spark, sf_dir, "documents").select("doc_id", "text"), key="quire")
+    count = lambda k: F.size(F.filter("__entities", lambda e: e["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return out.select("doc_id", "text", *map(count, pii.TYPES))
+
+
 def op10_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_wavelet_tokens": op2_wavelet_tokens,
     "op3_quality_ledger": op3_quality_ledger,
     "ledger_ablation": ledger_ablation,
+    "op4_maxent_score": op4_maxent_score,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_jaccard_components": op6_jaccard_components,
+    "op7_secret_ledger": op7_secret_ledger,
     "op8_source_mix": op8_source_mix,
+    "op9_surrogates": op9_surrogates,
     "op10_benchmark_overlaps": op10_benchmark_overlaps,
 }
 

@@ -34,7 +34,7 @@ END_ID = 1
 #: Tokens after which a shard is closed; one document is never split.
 SHARD_TOKENS = 1 << 20
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: The pre-tokenizer's pattern, for texts that the fast way takes.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Outside these characters the library's own normalizer and pre-tokenizer are run.
