@@ -1,4 +1,5 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quire.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
