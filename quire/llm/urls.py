@@ -84,13 +84,18 @@ class Model:
     ngrams: tuple[int, ...] = NGRAMS
 
     def margin(self, found: Column) -> Column:
-        return margin(found, F.lit(list(self.weights)), self.bits)
+        return margin(found, literal(self.weights), self.bits)
 
     def probability(self, host: str, path: str) -> Column:
         """Of being blocked."""
         return 1 / (1 + F.exp(-self.margin(features(host, path, self.bits, self.ngrams))))
 
 
+def literal(weights) -> Column:
+    """The weights as one constant."""
+    return F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+
+
 def margin(found: Column, weights: Column, bits: int) -> Column:
     """Bias + sum of the features' weights / sqrt(their number)."""
     bind = F.transform(F.array(weights), lambda w: w[1 << bits] + F.aggregate(found, F.lit(0.0), lambda a, i: a + w[i]) / F.sqrt(F.greatest(F.size(found), F.lit(1))))
@@ -108,7 +113,7 @@ def train(labelled: DataFrame, bits: int = BITS, ngrams: tuple[int, ...] = NGRAM
         weights[-1] = 5.0 if n and ones == n else -5.0
         return Model(tuple(weights), bits, ngrams)
     for _ in range(steps):
-        wrong = rows.select("f", (F.col("y") - 1 / (1 + F.exp(-margin(F.col("f"), F.lit(weights), bits)))).alias("e"))
+        wrong = rows.select("f", (F.col("y") - 1 / (1 + F.exp(-margin(F.col("f"), literal(weights), bits)))).alias("e"))
         each = F.transform("f", lambda i: F.struct(i.alias("i"), (F.col("e") / F.sqrt(F.size("f"))).alias("g")))
         got = wrong.select(F.inline(F.concat(each, F.array(F.struct(F.lit(1 << bits).alias("i"), F.col("e").alias("g")))))).groupBy("i").agg((F.sum("g") / n).alias("g"))
         for i, g in got.collect():  # at most 2 ** bits + 1 rows
