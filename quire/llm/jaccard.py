@@ -13,7 +13,7 @@ Hot keys. Common lines make keys that thousands of unrelated sets share. A pair
 also shares a cold one, and A's hot keys need no search. Only sets whose keys are nearly all hot (large groups of near copies) search them.
 
 Large groups. Every key first links its sets with its least one (pairs in proportion to rows). Those links, verified, give components; keys within one component are done, and only
-pairs across components are looked at, filtered by size and Hamming distance within the join. Equal sets are one node from the start.
+pairs across components are looked at, filtered by size and Hamming distance within the join; within a hot key, only pairs with a set outside the key's largest component. Equal sets are one node from the start.
 
 Every reported link is verified on the whole shingle sets (64-bit hashes). A result's class is its connected component.
 
@@ -273,13 +273,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     label = common.shared_table(label.join(hot, "node", "left").select("node", "component", need.alias("searches")), "labels")
     rest = shared.select("key", "node", "sets").join(label, "node")
     rest = common.shared_table(rest, "labelled")
-    spans = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("sets").alias("sets"), F.bool_or("searches").alias("searched"))
-    spans = spans.where(f"lo != hi and (sets <= {HOT} or searched)").select("key")
-    rest = rest.join(spans, "key", "left_semi").join(known.select("node", F.struct("n", "rep", "sketch").alias("x")), "node")
-    p = rest.where(f"sets <= {HOT} or searches").select(F.col("key").alias("k"), F.col("component").alias("c"), F.col("x").alias("p"))
-    q = rest.select("key", "component", F.col("x").alias("q"))
-    more = p.join(q, (F.col("k") == F.col("key")) & F.expr(f"c != component and {may_link('p', 'q')}"))
-    more = common.shared_table(more.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct(), "more")
+    each = rest.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("sets").alias("sets"), F.bool_or("searches").alias("searched"))
+    spans = each.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("sets").alias("sets"), F.bool_or("searched").alias("searched"))
+    spans = spans.where(f"components > 1 and (sets <= {HOT} or searched)").select("key", "main")
+    rest = rest.join(spans, "key").join(known.select("node", F.struct("n", "rep", "sketch").alias("x")), "node")
+    rest = common.shared_table(rest.select("key", "component", "searches", (F.col("component") == F.col("main")).alias("in_main"), (F.col("sets") > HOT).alias("hot"), "x"), "open")
+
+    def across(p: DataFrame, q: DataFrame) -> DataFrame:
+        p = p.select(F.col("key").alias("k"), F.col("component").alias("c"), F.col("x").alias("p"))
+        q = q.select("key", "component", F.col("x").alias("q"))
+        found = p.join(q, (F.col("k") == F.col("key")) & F.expr(f"c != component and {may_link('p', 'q')}"))
+        return found.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
+
+    # of two sets in different components of a hot key, one is outside its main component: either that one searches, or the other does
+    more = across(rest.where("not hot or (searches and not in_main)"), rest).unionByName(across(rest.where("hot and searches and in_main"), rest.where("hot and not searches and not in_main")))
+    more = common.shared_table(more.distinct(), "more")
     links = links.unionByName(verified(more, docs, id_col, text_col, width))
     found = connected_components(links)
     of = sets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
