@@ -89,7 +89,7 @@ def group_of(value: Column) -> Column:
 def identity_of(value: Column, kind: Column) -> Column:
     """What occurrences of one entity share, however they are written."""
     name = F.concat(group_of(value), F.lit(":"), F.lower(F.regexp_replace(value, r"^\S+ ", "")))
-    return F.when(kind == "email", F.lower(value)).when(kind == "ip", value).when(kind == "name", name).otherwise(digits(value))
+    return F.when(kind == "email", F.lower(value)).when(kind == "ip", value).when(kind == "name", name).when(kind == "phone", F.concat(F.when(F.startswith(value, F.lit("+")), "+").otherwise(""), digits(value))).otherwise(digits(value))
 
 
 def stream(*parts: Column) -> Column:
@@ -114,6 +114,10 @@ def core(kind: Column, identity: Column, attempt: Column, key: str) -> Column:
     ip = F.concat(F.lit("10."), F.concat_ws(".", *[number(hexes, 1 + 8 * i, 254 if i == 2 else 256).cast("string") for i in range(2)], (number(hexes, 17, 254) + 1).cast("string")))
     figures = F.translate(hexes, "abcdef", "012345")
     same_length = F.substring(figures, F.lit(1), F.length(identity))
+    # after a plus sign the country's code stays: 1, 7 or two digits
+    own = F.when(identity.rlike(r"^\+[17]"), F.substring(identity, 2, 1)).otherwise(F.substring(identity, 2, 2))
+    abroad = F.concat(own, F.substring(figures, F.lit(1), F.length(identity) - 1 - F.length(own)))
+    same_length = F.when(F.startswith(identity, F.lit("+")), abroad).otherwise(same_length)
     script = F.element_at(F.split(identity, ":"), 2)
     name = F.when(script == "cyrillic", word("cyrillic", 6)).when(script == "arabic", word("arabic", 6)).otherwise(word("latin", 6))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", F.initcap(name)).otherwise(same_length)
@@ -122,7 +126,7 @@ def core(kind: Column, identity: Column, attempt: Column, key: str) -> Column:
 def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """kind, identity, core of distinct entities; no core is another's, nor any entity's own."""
     known = common.shared_table(entities.select("kind", "identity").distinct(), "entities")
-    itself = known.select("kind", F.when(F.col("kind") == "name", F.initcap(F.regexp_replace("identity", "^.*[: ]", ""))).otherwise(F.col("identity")).alias("core")).distinct()
+    itself = known.select("kind", F.when(F.col("kind") == "name", F.initcap(F.regexp_replace("identity", "^.*[: ]", ""))).otherwise(F.regexp_replace("identity", r"^\+", "")).alias("core")).distinct()
     left, done = known, []
     for attempt in range(rounds):
         tried = left.select("kind", "identity", core(F.col("kind"), F.col("identity"), F.lit(attempt), key).alias("core"))
@@ -140,10 +144,9 @@ def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
 def written(value: Column, kind: Column, identity: Column, core: Column, key: str) -> Column:
     """The surrogate in the occurrence's format."""
     upper = F.when(value == F.upper(value), F.upper(core)).otherwise(core)
-    # numbers: the country's code stays; each other digit is the core's at its place
-    code = F.length(digits(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)))
+    # numbers: each digit is the core's at its place
     place = lambda i: F.length(digits(F.substring(value, F.lit(1), i + 1)))
-    laid = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]") & (place(i) > code), F.substring(core, place(i), F.lit(1))).otherwise(c)), "")
+    laid = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(core, place(i), F.lit(1))).otherwise(c)), "")
     title, names = F.substring_index(value, " ", 1), F.size(F.split(value, " ")) - 1
     hexes, given = stream(F.lit(key), F.lit("given"), identity), F.lit(None).cast("string")
     for (gender, script), own in GIVEN.items():
