@@ -12,12 +12,15 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that parts words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 SPACE_REGEX = r"[\x20\x09-\x0D]+"
 #: Text bytes that a Python step holds at once, beside one whole text.
 SLICE_BYTES = 8 << 20
+#: Up to so many document ids (8 bytes each), as counted, are broadcast to pick texts out.
+BROADCAST_IDS = 1_000_000
 
 _tables: list[tuple[SparkSession, str]] = []
 _local_dir: str | None = None
@@ -140,5 +143,7 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def table(df: DataFrame | None, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet") if df is None else df
+def few(ids: DataFrame, most: int) -> DataFrame:
+    """ids, written as a shared table; marked for broadcast if a count finds at most so many rows, joined by shuffle otherwise."""
+    ids = shared_table(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= most else ids

@@ -42,8 +42,6 @@ HOT = 64
 SKETCH_BITS = 1024
 #: Keys for a bucket, about: it is sorted by one task at once.
 BUCKET_KEYS = 1_200_000
-#: Up to so many document ids, as counted, are broadcast to pick texts out; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +215,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
             own = [hashes[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("want"), common.longs(np.diff(cuts)), pa.array([sketch(x, long_bits(len(x))) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["want", "n", "bits", "hashes"])
 
-    wanted = common.shared_table(wanted, "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = common.few(wanted, common.BROADCAST_IDS)
     texts = docs.select(F.col(id_col).cast("bigint").alias("want"), F.col(text_col).alias("text")).join(wanted, "want")
     found = common.shared_table(texts.mapInArrow(sets, "want bigint, n bigint, bits binary, hashes binary"), "sets")
 
@@ -300,7 +297,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The documents, unchanged, but of each class only the one with the least id (of repeated rows, one)."""
     found, _ = classes(docs, id_col, text_col, **options)
     drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(drop.select(F.col("doc_id").alias("__drop")), F.col(f"`{id_col}`").cast("bigint") == F.col("__drop"), "left_anti")
+    out = docs.join(common.few(drop.select(F.col("doc_id").alias("__drop")), common.BROADCAST_IDS), F.col(f"`{id_col}`").cast("bigint") == F.col("__drop"), "left_anti")
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
     if twice.limit(1).count():
         again = out.join(twice, F.col(f"`{id_col}`").cast("bigint") == F.col("__twice"), "left_semi").dropDuplicates([id_col])
