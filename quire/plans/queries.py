@@ -346,7 +346,7 @@ def tagged_paragraphs(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", align.tagged("target").alias("tagged")).where("tagged != ''")
 
 
-MARKDOWN = [(1, "# Title\n\n> قال المصنف\n\n> وقال أيضا\n\nHe said.\n\n•\n\n- \"العلم\" -> \"Knowledge\"\n\nWait, let me see"), (2, "> نص\n\nText.\n\n> نص\n\nMore."), (3, ""), (4, "> الفصل الأول\n\n> نص\n\n\n\n> نص آخر")]
+MARKDOWN = [(1, "# Title\n\n> قال المصنف\n\n> وقال أيضا\n\nHe said.\n\n•\n\n- \"العلم\" -> \"Knowledge\"\n\nLet's see the rest"), (2, "> نص\n\nText.\n\n> نص\n\nMore."), (3, ""), (4, "> الفصل الأول\n\n> نص\n\n\n\n> نص آخر")]
 
 
 @query("SELECT * FROM (VALUES (1, 'ERROR', 'orphaned_arabic_block', 3), (1, 'WARNING', 'dummy_translation_block', 9), (1, 'ERROR', 'bidi_bullet_hazard', 11), (1, 'WARNING', 'llm_monologue_leak', 13), (4, 'ERROR', 'orphaned_arabic_block', 3)) AS v(id, severity, type, line)")

@@ -20,7 +20,7 @@ def test_query(spark, name):
     got = registry.QUERIES[name](spark, DIR)
     columns = sorted(got.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)
-    assert rows
+    assert rows or name == "pair_equal"  # no such turns in the smallest tables
     if name in registry.ORACLES:
         duckdb = pytest.importorskip("duckdb")
         with duckdb.connect() as c:
