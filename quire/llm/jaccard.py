@@ -141,7 +141,7 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def key_rows(docs: DataFrame, id_col: str, text_col: str, width: int, buckets: int) -> DataFrame:
-    """Keys of all sets, dealt into buckets: (bucket, keys: u32 each, and runs of keys of one set and band: nodes, and runs: u16 length with the high bit for the set's own band)."""
+    """Keys of all sets, dealt into buckets: (bucket, keys: u32 each, and runs of keys of one set and band: nodes, and runs: u32 length with the high bit for the set's own band)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "text"):
@@ -170,7 +170,7 @@ def key_rows(docs: DataFrame, id_col: str, text_col: str, width: int, buckets: i
                 start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 out[0].append(int(to[a]))
                 out[1].append((key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                out[2].append((np.diff(np.append(start, len(own))).astype(np.uint16) | own[start] & np.uint16(0x8000)).tobytes())
+                out[2].append((np.diff(np.append(start, len(own))).astype(np.uint32) | (own[start] >> np.uint16(15)).astype(np.uint32) << np.uint32(31)).tobytes())
                 out[3].append(nodes[own[start] & np.uint16(0x7FFF)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "keys", "runs", "nodes"])
 
@@ -184,10 +184,10 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         number = table.column("bucket")[0].as_py()
         key, node, own = [], [], []
         for k, r, n in zip(*(table.column(c).to_pylist() for c in ("keys", "runs", "nodes")), strict=True):
-            r, n = np.frombuffer(r, np.uint16), np.frombuffer(n, np.uint64)
+            r, n = np.frombuffer(r, np.uint32), np.frombuffer(n, np.uint64)
             key.append(np.frombuffer(k, np.uint32))
-            node.append(np.repeat(n, r & np.uint16(0x7FFF)))
-            own.append(np.repeat((r >> np.uint16(15)).astype(np.uint8), r & np.uint16(0x7FFF)))
+            node.append(np.repeat(n, r & np.uint32(0x7FFFFFFF)))
+            own.append(np.repeat((r >> np.uint32(31)).astype(np.uint8), r & np.uint32(0x7FFFFFFF)))
         k, n, o = np.concatenate(key), np.concatenate(node).view(np.int64), np.concatenate(own)
         order = np.lexsort((n, k))
         k, n, o = k[order], n[order], o[order]

@@ -269,6 +269,13 @@ def test_jaccard_edges(spark, edges, nothing):
     assert kept.columns == edges.columns and sorted(x.doc_id or 0 for x in kept.collect()) == [0, 1, 4, 5, 6, 7, 9, 11, 12, 14]
 
 
+def test_jaccard_long_text(spark):
+    long = [f"w{i}" for i in range(100_000)]
+    rows = [(1, " ".join(long), "s"), (2, " ".join([*long[:-1], "changed"]), "s"), (3, " ".join(f"v{i}" for i in range(40_000)), "s")]
+    got, _ = jaccard.classes(table(spark, rows), bucket_keys=10_000_000)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == {1: (99_996, 1), 2: (99_996, 1), 3: (39_996, 3)}
+
+
 def test_parity_bounds():
     r = np.random.default_rng(2)
     for n in (10, 63, 64, 200, 511, 512, 1000, 5000):
