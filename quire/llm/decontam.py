@@ -2,10 +2,9 @@
 
 Fixed masks pick some of a window's words and ignore the others, so a window with substituted words still hashes alike under the masks that ignore them.
 Seeds of the benchmark (a stated set, in blocks of a bounded size) go to every task; a document's seeds are looked up in a bitmap, then exactly. Around each hit the item is
-laid on the document at the hit's offset, without gaps, and its best-matching run is taken: +1 for an equal word, -2 for another.
+laid on the document at the hit's offset, without gaps, and of its runs with at least `min_identity` equal words the one with the most of them is taken, from its first equal word to its last.
 
-Words: runs of letters, digits and marks, in lower case. A pair is reported if the run's equal words are at least `min_words` (or 0.7 of a shorter item) and at least
-`min_identity` of the run.
+Words: runs of letters, digits and marks, in lower case. A pair is reported if the run's equal words are at least `min_words` (or 0.7 of a shorter item).
 
 Edge cases: null and empty texts hold no words; items without words match nothing; items shorter than the masks are sought as whole word runs; repeated rows are reported
 one by one; an empty table on either side gives no rows; other columns are ignored (find) or passed through (clean).
@@ -52,13 +51,20 @@ def seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return common.mix(total)
 
 
-def best_run(equal: np.ndarray) -> tuple[int, int]:
-    """The run with the most of +1 for each equal word and -2 for each other."""
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
-    return start, end
+def best_run(equal: np.ndarray, min_identity: float) -> tuple[int, int]:
+    """Of the runs with at least min_identity equal words the one with the most, without others at its ends; the shortest of several."""
+    count = np.concatenate([[0], np.cumsum(equal)])
+    if not count[-1]:
+        return 0, 0
+    ahead = count - min_identity * np.arange(len(count))
+    low = np.minimum.accumulate(ahead)
+    start = np.searchsorted(-low, -ahead - 1e-9)  # the first place from which the run to each end has min_identity
+    n = count - count[start]
+    ends = np.flatnonzero(n == n.max())
+    at = np.flatnonzero(equal)
+    first, last = at[count[start[ends]]], at[count[ends] - 1] + 1
+    k = int(np.argmin(last - first))
+    return int(first[k]), int(last[k])
 
 
 class Block:
@@ -117,9 +123,9 @@ def matches(block: Block, words: np.ndarray, ends: np.ndarray, min_words: int, m
         while first < len(ends) - 1 and ends[first] < offset + hi:
             x, y = max(int(ends[first]) - offset, lo), min(int(ends[first + 1]) - offset, hi)
             if y > x:
-                s, e = best_run(equal[x - lo : y - lo])
+                s, e = best_run(equal[x - lo : y - lo], min_identity)
                 n = int(equal[x - lo : y - lo][s:e].sum())
-                if n >= min(min_words, 0.7 * size) and n >= min_identity * (e - s) and n:
+                if n >= min(min_words, 0.7 * size) and n:
                     start = offset + x + s - int(ends[first])
                     best.setdefault((first, item), []).append((n, start, start + e - s, x + s, x + e))
             first += 1

@@ -452,6 +452,28 @@ def test_decontamination(spark, edges, nothing):
     assert decontam.clean(edges, bench).count() == edges.count() and decontam.clean(nothing, bench).count() == 0
 
 
+def test_decontamination_short_items():
+    r = np.random.default_rng(5)
+    for size, changed in ((15, 2), (15, 3), (20, 4), (20, 5), (40, 10)):
+        for _ in range(60):
+            item = r.integers(1, 1 << 63, size).astype(np.uint64)
+            text = item.copy()
+            text[r.choice(size, changed, False)] = 0
+            text = np.concatenate([r.integers(1, 1 << 63, 30).astype(np.uint64), text, r.integers(1, 1 << 63, 30).astype(np.uint64)])
+            block = decontam.Block(np.array([7]), item, np.array([0, size]), decontam.MASKS)
+            found = decontam.matches(block, text, np.array([0, len(text)]), decontam.MIN_WORDS, decontam.MIN_IDENTITY)
+            assert [x[6] for x in found] == [size - changed] * bool(len(block.hits(text)))
+
+
+def test_best_run():
+    r = random.Random(3)
+    for _ in range(300):
+        equal, least = np.array([r.random() < 0.7 for _ in range(r.randrange(1, 25))]), r.choice([0.75, 0.8, 0.9, 1.0])
+        runs = [(-int(equal[s:e].sum()), e - s) for s in range(len(equal)) for e in range(s + 1, len(equal) + 1) if equal[s:e].sum() >= least * (e - s) - 1e-9]
+        s, e = decontam.best_run(equal, least)
+        assert (-int(equal[s:e].sum()), e - s) == min(runs, default=(0, 0))
+
+
 # the pipeline
 
 
