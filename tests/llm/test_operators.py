@@ -218,6 +218,24 @@ def test_chain_keeps_order():
     assert chains.sliding_min(np.array([5, 3, 8, 1, 9, 7]), 3).tolist() == [3, 1, 1, 1]
 
 
+def test_passages_after_a_long_block():
+    r = np.random.default_rng(8)
+    lost = 0
+    for _ in range(20):
+        some = lambda n: r.integers(1, 1 << 63, n).astype(np.uint64)
+        block, passage = some(400), some(61)
+        a = np.concatenate([block, some(300), passage, some(40)])
+        b = np.concatenate([block, some(500), passage[:30], some(1), passage[30:], some(40)])
+        (x, s), (y, t) = chains.seeds_of(a), chains.seeds_of(b)
+        i, j = np.nonzero(s[:, None] == t[None, :])
+        got = chains.passages_of(x[i], y[j], a, b, chains.MIN_WORDS, chains.MIN_IDENTITY)
+        assert (0, 400, 0, 400, 400) in got
+        ahead = x[i] - 700
+        halves = ((0 <= ahead) & (ahead <= 22)).any() and ((30 <= ahead) & (ahead <= 53)).any()
+        lost += halves and not any(p[0] >= 690 and p[4] >= 60 for p in got)
+    assert lost == 0
+
+
 # 6
 
 
