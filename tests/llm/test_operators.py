@@ -236,6 +236,32 @@ def test_passages_after_a_long_block():
     assert lost == 0
 
 
+def test_passages_first_met_in_parts(spark):
+    rows, want = [], set()
+    for g in range(12):
+        passage, at = words(61, 3000 + g, 10_000), 10 * g
+        runs = [passage[:42], passage[19:], passage, passage[:42], passage[19:], passage]
+        rows += [(at + k, " ".join(words(70, 4000 + at + k, 10_000) + run + words(60, 5000 + at + k, 10_000)), "a") for k, run in enumerate(runs)]
+        want.add((at + 5, at + 2))
+    got = {(x.doc_id, x.source_id): x for x in chains.passages(table(spark, rows)).collect()}
+    assert want == set(got)
+    assert all((x.start, x.end, x.source_start, x.source_end, x.n_equal) == (70, 131, 70, 131, 61) for x in got.values())
+
+
+def test_open_runs():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        some = lambda n: r.integers(1, 1 << 63, n).astype(np.uint64)
+        run, found = some(45), []
+        for _ in range(2):
+            before = int(r.integers(0, 40))
+            found.append((before, np.concatenate([some(before), run, some(int(r.integers(0, 40)))])))
+        seeds = [chains.seeds_of(w) for _, w in found]
+        both = np.intersect1d(seeds[0][1], seeds[1][1])
+        opened = [chains.open_runs(w, at[np.isin(s, both)], 45) for (_, w), (at, s) in zip(found, seeds)]
+        assert all(before in at for (before, _), (at, _) in zip(found, opened)) and np.intersect1d(opened[0][1], opened[1][1]).size
+
+
 # 6
 
 
