@@ -262,6 +262,21 @@ def test_open_runs():
         assert all(before in at for (before, _), (at, _) in zip(found, opened)) and np.intersect1d(opened[0][1], opened[1][1]).size
 
 
+def test_fuzzy_passage_recall():
+    r, found = np.random.default_rng(6), Counter()
+    for _ in range(100):
+        for size, every in ((60, 10), (60, 8), (52, 8)):
+            some = lambda n: r.integers(1, 1 << 63, n).astype(np.uint64)
+            passage = some(size)
+            fuzzy = passage.copy()
+            fuzzy[every - 1 :: every] = some(len(fuzzy[every - 1 :: every]))
+            a, b = np.concatenate([some(60), passage, some(60)]), np.concatenate([some(70), fuzzy, some(60)])
+            (x, s), (y, t) = chains.seeds_of(b), chains.seeds_of(a)
+            i, j = np.nonzero(s[:, None] == t[None, :])
+            found[size, every] += bool(len(i) and chains.passages_of(x[i], y[j], b, a, chains.MIN_WORDS, chains.MIN_IDENTITY))
+    assert found[60, 10] == 100 and min(found[60, 8], found[52, 8]) >= 80, found
+
+
 # 6
 
 
