@@ -262,6 +262,14 @@ def test_open_runs():
         assert all(before in at for (before, _), (at, _) in zip(found, opened)) and np.intersect1d(opened[0][1], opened[1][1]).size
 
 
+def test_passage_beside_a_far_seed():
+    r = np.random.default_rng(7)
+    some = lambda n: r.integers(1, 1 << 63, n).astype(np.uint64)
+    passage, far = some(45), some(7)
+    a, b = np.concatenate([some(20), passage, some(50), far, some(20)]), np.concatenate([some(30), passage, some(50), far, some(20)])
+    assert chains.passages_of(np.array([20, 58, 115]), np.array([30, 68, 125]), a, b, chains.MIN_WORDS, chains.MIN_IDENTITY) == [(20, 65, 30, 75, 45)]
+
+
 def test_fuzzy_passage_recall():
     r, found = np.random.default_rng(6), Counter()
     for _ in range(100):
