@@ -184,3 +184,32 @@ def test_stream(spark, tmp_path):
     S.translate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck", translate.Config(chunk_size=20)).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.where("doc_id = 1").count() == chunking.chunk_documents(docs(spark, BOOK), "text", 20).count()
+
+
+def test_typst_formatting():
+    markup = render.typst_of("# Lektion 1\n\nEn **vigtig** del med *kursiv* og $100 og user@example.com.\n\n> Qur'an 2:255: «Gud»\n\n## Afsnit\n\n- Et punkt\n1. Nummer\n---\n> A plain quote")
+    lines = markup.split("\n")
+    assert "= Lektion 1" in lines and "== Afsnit" in lines and "- Et punkt" in lines and "+ Nummer" in lines
+    assert r"En *vigtig* del med _kursiv_ og \$100 og user\@example.com." in lines
+    assert "#quran_callout[\n  Qur'an 2:255: «Gud»\n]" in markup and "#hawza_callout[\n  A plain quote\n]" in markup and "✦" in markup
+
+
+def test_typst_notes_and_noise():
+    markup = render.typst_of("A claim[^1] and another[^2], not [9].\n\n[^1]: See *al-Kāfī*, p. 25.\n[^2]: Costs $2 [sic]\n\na < b `code *x*` lone ` and * star <!-- note -->\n= not a heading")
+    assert "#footnote[See _al-Kāfī_, p. 25.]" in markup and r"#footnote[Costs \$2 \[sic\]]" in markup and r"\[9\]" in markup and "]:" not in markup
+    assert r"a \< b `code *x*` lone ' and \* star <!-- note -->" in markup and r"\= not a heading" in markup
+
+
+def test_typst_pairs():
+    markup = render.typst_of("> 📜 **[الأصل العربي]**:\n> قال المصنف\n\n<!-- rubric: On logic -->\nHe said.\n- and more\n\nPlain.\n\n> نص بلا ترجمة\n# Next")
+    assert "#margin_tab[On logic]" in markup and "#bilingual_item[\n  قال المصنف\n][\n  He said.\n- and more\n]" in markup
+    assert "\nPlain.\n" in markup and "#arabic_block[\n  نص بلا ترجمة\n]" in markup and markup.endswith("= Next")
+
+
+def test_write_pdf(tmp_path):
+    told, locked = [], tmp_path / "a" / "book.pdf"
+    assert render.write_pdf("x", str(locked), ["issue"], compiler=lambda m: None, say=told.append) is None
+    assert told == ["issue"] and (tmp_path / "a" / "book.typ").read_text() == "x"
+    assert render.write_pdf("x", str(locked), compiler=lambda m: b"%PDF") == locked and locked.read_bytes() == b"%PDF"
+    names = [p.name for _, p in zip(range(3), render.free_names(locked), strict=False)]
+    assert names == ["book.pdf", "book_updated.pdf", "book_updated_2.pdf"]
