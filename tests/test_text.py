@@ -11,7 +11,7 @@ def test_token_count(one, n, tokens):
 
 
 def test_trailing_context(one):
-    assert one(lambda c: T.trailing_context(c, 4), "alpha beta gamma") == "" or True
+    assert one(lambda c: T.trailing_context(c, 4), "alpha beta gamma") == "gamma"
     assert one(lambda c: T.trailing_context(c, 8), "alpha beta gamma") == "gamma"
     assert one(T.trailing_context, " short ") == "short"
     assert one(T.trailing_context, None) == ""
@@ -59,7 +59,7 @@ def test_particles(one):
 
 def test_reversed_lines(one):
     line = "باتكلا ةسردم"
-    assert one(N.fix_reversed, line) == "مدرسة الكتاب"[::1] or one(N.fix_reversed, line) == line[::-1]
+    assert one(N.fix_reversed, line) == line[::-1]
     assert one(N.fix_reversed, "plain (text) 12") == "plain (text) 12"
     assert N.turn_line("(12) ab") == "ba (12)"
 
