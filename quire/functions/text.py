@@ -49,9 +49,13 @@ def text_of(x: Column | str) -> Column:
     return F.coalesce(col(x), F.lit(""))
 
 
+#: What Unicode calls white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column | str) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(text_of(x), r"(?U)^\s+|\s+\z", "")
+    return F.trim(text_of(x), F.lit(WHITE))
 
 
 def token_count(x: Column | str) -> Column:

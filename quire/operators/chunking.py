@@ -50,17 +50,19 @@ def _parts(x: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(x, pattern), T.strip), lambda p: p != "")
 
 
-def _by_words(x: Column, max_tokens: int) -> Column:
-    """Runs of words, each closed by the word that brings it to the budget."""
-    words = F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("run"))
+def least_chars(tokens: int) -> int:
+    """The shortest text that counts so many tokens."""
+    n = max(1, int(tokens * T.CHARS_PER_TOKEN) - 1)
+    while max(1, int(n / T.CHARS_PER_TOKEN)) < tokens:
+        n += 1
+    return n
 
-    def step(state: Column, word: Column) -> Column:
-        run = F.when(state["run"] == "", word).otherwise(F.concat(state["run"], F.lit(" "), word))
-        full = T.token_count(run) >= max_tokens
-        return F.struct(F.when(full, F.concat(state["done"], F.array(run))).otherwise(state["done"]).alias("done"), F.when(full, F.lit("")).otherwise(run).alias("run"))
 
-    return F.aggregate(words, start, step, lambda s: F.when(s["run"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["run"]))))
+def _by_words(x: Column, max_tokens: int) -> Column:
+    """Runs of words, each closed by the word that brings it to the budget: one pattern takes the characters that are short of it by one, and what is left of the word that follows."""
+    least = least_chars(max_tokens)
+    run = "[^ ]+" if least < 2 else rf"[^ ].{{{least - 2}}} ?[^ ]*|[^ ].*"
+    return F.regexp_extract_all(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(f"(?s){run}"), F.lit(0))
 
 
 def units(x: Column | str, max_tokens: int, profile: Profile = ARABIC) -> Column:
@@ -78,15 +80,24 @@ def units(x: Column | str, max_tokens: int, profile: Profile = ARABIC) -> Column
 
 def pack(units: Column, max_tokens: int) -> Column:
     """array<string>: units joined by a blank line while their own counts fit the budget."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("run"), F.lit(0).alias("n"))
+    # a fold over the counts finds where chunks begin; texts are cut once, at the end
+    nothing = F.array().cast("array<int>")
+    start = F.struct(nothing.alias("begins"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+
+    def step(state: Column, n: Column) -> Column:
+        new = (state["n"] + n > max_tokens) | (state["at"] == 0)
+        return F.struct(F.when(new, F.concat(state["begins"], F.array(state["at"]))).otherwise(state["begins"]).alias("begins"), F.when(new, n).otherwise(state["n"] + n).alias("n"), (state["at"] + 1).alias("at"))
+
+    def cut(both: Column) -> Column:
+        all_, begins = both["units"], both["begins"]
+        end = lambda i: F.coalesce(F.get(begins, i + 1), F.size(all_))
+        return F.transform(begins, lambda b, i: F.array_join(F.slice(all_, b + 1, end(i) - b), "\n\n"))
 
-    def step(state: Column, unit: Column) -> Column:
-        n = T.token_count(unit)
-        new = (state["n"] + n > max_tokens) & (state["run"] != "")
-        run = F.when(new | (state["run"] == ""), unit).otherwise(F.concat(state["run"], F.lit("\n\n"), unit))
-        return F.struct(F.when(new, F.concat(state["done"], F.array(state["run"]))).otherwise(state["done"]).alias("done"), run.alias("run"), F.when(new, n).otherwise(state["n"] + n).alias("n"))
+    def fold(all_: Column) -> Column:
+        begins = F.aggregate(F.transform(all_, T.token_count), start, step, lambda s: s["begins"])
+        return F.element_at(F.transform(F.array(F.struct(all_.alias("units"), begins.alias("begins"))), cut), 1)
 
-    return F.aggregate(units, start, step, lambda s: F.when(s["run"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["run"]))))
+    return F.element_at(F.transform(F.array(units), fold), 1)
 
 
 def chunks(x: Column | str, max_tokens: int = 1500, overlap_tokens: int = 200, before: Column | None = None, profile: Profile = ARABIC) -> Column:

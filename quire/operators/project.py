@@ -34,10 +34,10 @@ def remaining(chunks: DataFrame, done: DataFrame, by: tuple[str, ...] = ("doc_id
 
 
 def completed_prefix(chunks: DataFrame, done: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """by, next_index: the first chunk that is not done; everything before it is."""
-    left = remaining(chunks, done, by).groupBy(*by).agg(F.min("chunk_index").alias("first"))
-    total = chunks.groupBy(*by).agg(F.count("*").cast("int").alias("n"))
-    return total.join(left, list(by), "left").select(*by, F.coalesce("first", "n").alias("next_index"))
+    """by, next_index: the first chunk that is not done; everything before it is. Chunks are computed once."""
+    marked = chunks.join(done.select(*by, "chunk_index", F.lit(True).alias("__done")).distinct(), [*by, "chunk_index"], "left")
+    first = F.min(F.when(F.col("__done").isNull(), F.col("chunk_index")))
+    return marked.groupBy(*by).agg(F.coalesce(first, F.count("*").cast("int")).alias("next_index"))
 
 
 def offset_footnotes(x: Column | str, offset: Column | int) -> Column:

@@ -44,17 +44,22 @@ def prompt_glossary(glossary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def resolve_glossary(requests: DataFrame, files: DataFrame) -> DataFrame:
     """requests: path, lang, domain. files: lang, domain, path (lang null: the old single file). Adds `resolved` and `level`: 0 the explicit path, 1 language and domain, 2 the domain in English,
-    3 the language's first file by name, 4 the old file."""
-    code = lambda c: F.lower(T.strip(c))
-    rows = requests.withColumn("__id", F.monotonically_increasing_id())
-    f = files.select(F.lower("lang").alias("__lang"), F.lower("domain").alias("__domain"), F.col("path").alias("__path"))
-    exact, english = (F.col("__lang") == code("lang")) & (F.col("__domain") == code("domain")), (F.col("__lang") == "en") & (F.col("__domain") == code("domain"))
-    level = F.when(exact, 1).when(english, 2).when(F.col("__lang") == code("lang"), 3).when(F.col("__lang").isNull(), 4)
-    near = rows.select("__id", "lang", "domain").join(F.broadcast(f), exact | english | (F.col("__lang") == code("lang")) | F.col("__lang").isNull())
-    best = near.groupBy("__id").agg(F.min(F.struct(level.alias("level"), F.col("__path").alias("path"))).alias("best"))
-    explicit = F.col("path").isNotNull() & (F.col("path") != "")
-    out = rows.join(best, "__id", "left")
-    return out.select(*requests.columns, F.when(explicit, F.col("path")).otherwise(F.col("best.path")).alias("resolved"), F.when(explicit, 0).otherwise(F.col("best.level")).alias("level"))
+    3 the language's first file by name, 4 the old file. An equal join for each level."""
+    files = files.select(F.lower("lang").alias("__lang"), F.lower("domain").alias("__domain"), F.col("path").alias("__path"))
+    rows = requests.withColumns({"__l": F.lower(T.strip("lang")), "__d": F.lower(T.strip("domain")), "__en": F.lit("en"), "__one": F.lit(1)})
+
+    def level(rows: DataFrame, name: str, files: DataFrame, keys: dict[str, str]) -> DataFrame:
+        first = files.groupBy(*keys.values()).agg(F.min("__path").alias(name))
+        return rows.join(first, [rows[a].eqNullSafe(first[b]) for a, b in keys.items()], "left").drop(*keys.values())
+
+    told = files.where("__lang is not null")
+    out = level(rows, "__1", told, {"__l": "__lang", "__d": "__domain"})
+    out = level(out, "__2", told, {"__en": "__lang", "__d": "__domain"})
+    out = level(out, "__3", told, {"__l": "__lang"})
+    out = level(out, "__4", files.where("__lang is null").withColumn("__old", F.lit(1)), {"__one": "__old"})
+    path = F.nullif(F.col("path"), F.lit(""))
+    which = [path, *map(F.col, ("__1", "__2", "__3", "__4"))]
+    return out.select(*requests.columns, F.coalesce(*which).alias("resolved"), F.coalesce(*[F.when(c.isNotNull(), i) for i, c in enumerate(which)]).alias("level"))
 
 
 def available_glossaries(files: DataFrame) -> DataFrame:
@@ -65,28 +70,30 @@ def available_glossaries(files: DataFrame) -> DataFrame:
 def accepted(terms: DataFrame, normalize: bool = True) -> DataFrame:
     """Terms with their key in `arabic` and a trimmed target, without honorifics, sentences and blanks."""
     key = N.term_key("arabic") if normalize else T.strip(F.regexp_replace("arabic", r"(?U)\s+", " "))
-    target = F.regexp_replace(T.strip("target"), r"[;,.]+\z", "")
-    rows = terms.withColumn("arabic", key).withColumn("target", target)
-    return rows.where((F.col("arabic") != "") & (F.col("target") != "") & ~F.col("arabic").rlike("|".join(HONORIFICS)) & (words(F.col("arabic")) <= MAX_SOURCE_WORDS) & (words(F.col("target")) <= MAX_TARGET_WORDS))
+    target = F.when(F.substring(T.strip("target"), -1, 1).isin(";", ",", "."), F.regexp_replace(T.strip("target"), r"[;,.]+\z", "")).otherwise(T.strip("target"))
+    # a term of one word, as most are, needs no split
+    few = lambda x, most: ~x.rlike(r"(?U)\s") | (words(x) <= most)
+    honorific = F.exists(F.array(*map(F.lit, HONORIFICS)), lambda h: F.contains("arabic", h))
+    rows = terms.withColumns({"arabic": key, "target": target})
+    return rows.where((F.col("arabic") != "") & (F.col("target") != "") & few(F.col("arabic"), MAX_SOURCE_WORDS) & few(F.col("target"), MAX_TARGET_WORDS) & ~(has_arabic(F.col("arabic")) & honorific))
 
 
 def record(terms: DataFrame, known: DataFrame | None = None, by: tuple[str, ...] = (), normalize: bool = True) -> DataFrame:
     """The memory after all terms, in order of seq: by, arabic, target, source_chunk, seq, is_new.
 
-    The first of a key stays, unless a later one overwrites it; an overwriting term keeps the key's place. known: the memory before."""
+    The first of a key stays, unless a later one overwrites it; an overwriting term keeps the key's place. known: the memory before.
+    All of it is partial aggregation: a key's first term and its last overwriting one, so a word that stands everywhere is one row from each task."""
     rows = accepted(terms, normalize)
     if "overwrite" not in rows.columns:
-        rows = rows.withColumn("overwrite", F.lit(False))
-    rows = rows.select(*by, "arabic", "target", "source_chunk", "seq", "overwrite", F.lit(True).alias("is_new"))
+        rows = rows.withColumn("overwrite", F.lit(None).cast("boolean"))
+    rows = rows.select(*by, "arabic", "target", "source_chunk", "seq", "overwrite", F.lit(1).alias("__new"))
     if known is not None:
-        rows = known.select(*by, "arabic", "target", "source_chunk", "seq", F.lit(False).alias("overwrite"), F.lit(False).alias("is_new")).unionByName(rows)
-    # old before new; of what counts (the first, or an overwriting one) the last
-    order = F.struct(F.when(F.col("is_new"), 1).otherwise(0), F.col("seq"))
-    first = F.min(order)
-    rows = rows.withColumn("__o", order).withColumn("__first", first.over(Window.partitionBy(*by, "arabic")))
-    counts = rows.where("overwrite or __o = __first")
-    out = counts.groupBy(*by, "arabic").agg(F.max_by("target", "__o").alias("target"), F.max_by("source_chunk", "__o").alias("source_chunk"), F.min_by("seq", "__o").alias("seq"), F.bool_and("is_new").alias("is_new"))
-    return out
+        rows = known.select(*by, "arabic", "target", "source_chunk", "seq", F.lit(None).cast("boolean").alias("overwrite"), F.lit(0).alias("__new")).unionByName(rows)
+    term = F.struct("__new", "seq", "target", "source_chunk")  # old before new, then in order
+    first, over = F.min(term).alias("__first"), F.max(F.when(F.col("overwrite"), term)).alias("__over")
+    out = rows.groupBy(*by, "arabic").agg(first, over)
+    last = F.coalesce("__over", "__first")
+    return out.select(*by, "arabic", last["target"].alias("target"), last["source_chunk"].alias("source_chunk"), F.col("__first.seq").alias("seq"), (F.col("__first.__new") == 1).alias("is_new"))
 
 
 def recorded(before: DataFrame, terms: DataFrame, by: tuple[str, ...] = (), normalize: bool = True) -> DataFrame:

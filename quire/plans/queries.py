@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for work that is long for each row, over all cores."""
+    return files.spread(table(spark, sf_dir, "documents").select(*columns or ("doc_id", "text")))
+
+
 def rows_of(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -107,39 +112,39 @@ def trailing_context(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {units_sql(100)} SELECT doc_id, pos, unit FROM u")
 def sentence_units(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.units("text", 100)).alias("pos", "unit"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.units("text", 100)).alias("pos", "unit"))
 
 
 @query(f"WITH RECURSIVE {chunks_sql(300, 0)} SELECT doc_id, idx AS chunk_index, chunk AS chunk_text, n AS n_chunks FROM k")
 def pack_chunks(spark, sf_dir):
-    out = chunking.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 300, 0)
+    out = chunking.chunk_documents(documents(spark, sf_dir), "text", 300, 0)
     return out.select("doc_id", "chunk_index", "chunk_text", "n_chunks")
 
 
 @query(f"WITH RECURSIVE {chunks_sql(1500, 200)} SELECT doc_id, idx AS chunk_index, tokens AS token_count, ctx AS prev_context FROM k")
 def chunk_context(spark, sf_dir):
-    out = chunking.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = chunking.chunk_documents(documents(spark, sf_dir))
     return out.select("doc_id", "chunk_index", "token_count", "prev_context")
 
 
 @query(f"""WITH RECURSIVE {chunks_sql(1500, 200)}
 SELECT lang, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, sum(tokens)::BIGINT AS total_tokens, max(tokens) AS max_tokens, sum(length(ctx))::BIGINT AS ctx_chars FROM k JOIN documents USING (doc_id) GROUP BY lang""")
 def chunk_stats_by_lang(spark, sf_dir):
-    out = table(spark, sf_dir, "documents").select("lang", chunking.chunks("text").alias("c")).where("size(c) > 0")
+    out = documents(spark, sf_dir, "lang", "text").select("lang", chunking.chunks("text").alias("c")).where("size(c) > 0")
     each = out.select("lang", F.size("c").alias("n"), *[F.aggregate(F.transform("c", f), F.lit(0).cast("bigint"), lambda a, x: a + x).alias(name) for name, f in (("t", lambda c: c["token_count"]), ("x", lambda c: F.length(c["prev_context"])))], F.array_max(F.transform("c", lambda c: c["token_count"])).alias("m"))
     return each.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chunks"), F.sum("t").alias("total_tokens"), F.max("m").alias("max_tokens"), F.sum("x").alias("ctx_chars"))
 
 
 @query(f"WITH RECURSIVE {chunks_sql(300, 0)} SELECT doc_id, sha256(string_agg(chunk, '' ORDER BY idx)) AS source_hash FROM k GROUP BY doc_id")
 def source_hash(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", chunking.chunks("text", 300, 0).alias("c"))
+    docs = documents(spark, sf_dir).select("doc_id", chunking.chunks("text", 300, 0).alias("c"))
     return docs.where("size(c) > 0").select("doc_id", chunking.source_hash(F.col("c")).alias("source_hash"))
 
 
 @query(f"""WITH RECURSIVE {chunks_sql(300, 200)}
 SELECT doc_id, string_agg('[DRY RUN - ENGLISH (mantiq)] Translated chunk ' || (idx + 1) || '/' || n || ' (' || tokens || ' tokens)' || chr(10) || chr(10) || '(Antecedent context: ' || length(ctx) || ' chars)' || chr(10) || chr(10) || '(Original ' || length(chunk) || ' chars)', chr(10) || chr(10) ORDER BY idx) AS output FROM k GROUP BY doc_id""")
 def dry_run_output(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return translate.translate_dry(docs, translate.Config(chunk_size=300)).where("output != ''")
 
 
@@ -191,7 +196,7 @@ t AS (SELECT * FROM r WHERE target <> '')"""
 def doc_terms(spark, sf_dir):
     """Each word of a document as a term, the next word as its target."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("ws"))
+    rows = documents(spark, sf_dir, "doc_id", "lang", "text").select("doc_id", "lang", words.alias("ws"))
     pairs = F.zip_with(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("arabic"), b.alias("target")))
     flat = rows.select("doc_id", "lang", F.posexplode(pairs).alias("pos", "p"))
     return flat.select("lang", F.col("p.arabic").alias("arabic"), F.col("p.target").alias("target"), F.col("doc_id").alias("source_chunk"), (F.col("doc_id") * 100_000 + F.col("pos") + 1).alias("seq"))
@@ -435,21 +440,26 @@ def document_tail(spark, sf_dir):
     return rows_of(spark, "id int, t string, o int", NOTES).select("id", F.inline(F.array(project.inspect("t"))))
 
 
+def three_done(spark, sf_dir):
+    """What an earlier run has done: the first three chunks of every document (of shorter ones all)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("chunk_index"))
+
+
 @query(f"WITH RECURSIVE {chunks_sql(300, 0)} SELECT doc_id, idx AS chunk_index FROM k WHERE idx >= 3")
 def resume_remaining(spark, sf_dir):
-    chunks = chunking.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 300, 0).select("doc_id", "chunk_index")
-    return project.remaining(chunks, chunks.where("chunk_index < 3"))
+    chunks = chunking.chunk_documents(documents(spark, sf_dir), "text", 300, 0).select("doc_id", "chunk_index")
+    return project.remaining(chunks, three_done(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {chunks_sql(300, 0)} SELECT doc_id, least(max(n), 3)::INT AS next_index FROM k GROUP BY doc_id")
 def resume_prefix(spark, sf_dir):
-    chunks = chunking.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 300, 0).select("doc_id", "chunk_index")
-    return project.completed_prefix(chunks, chunks.where("chunk_index < 3"))
+    chunks = chunking.chunk_documents(documents(spark, sf_dir), "text", 300, 0).select("doc_id", "chunk_index")
+    return project.completed_prefix(chunks, three_done(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {chunks_sql(300, 0)}, r AS (SELECT doc_id, sha256(string_agg(chunk, '' ORDER BY idx)) AS source_hash, max(n) AS total_chunks FROM k GROUP BY doc_id) SELECT doc_id, doc_id % 3 = 0 AS compatible FROM r".replace("doc_id % 3 = 0 AS compatible FROM r", "source_hash IN (SELECT source_hash FROM r WHERE doc_id % 3 = 0) AS compatible FROM r"))
 def checkpoint_compatible(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", chunking.chunks("text", 300, 0).alias("c")).where("size(c) > 0")
+    docs = documents(spark, sf_dir).select("doc_id", chunking.chunks("text", 300, 0).alias("c")).where("size(c) > 0")
     run = docs.select("doc_id", chunking.source_hash(F.col("c")).alias("source_hash"), F.size("c").alias("total_chunks"), F.lit("EN").alias("target_lang"), F.lit("mantiq").alias("domain"), F.lit(False).alias("inline_arabic"), F.lit(False).alias("verify"))
     saved = run.where("doc_id % 3 = 0").withColumn("target_lang", F.lit("en"))
     return project.compatible(saved, run).select("doc_id", "compatible")

@@ -19,6 +19,15 @@ from quire.operators import layout, slicing
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its scan alone would be fewer tasks (a small input in one row group); as it is otherwise, so nothing is shuffled at scale."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def kind_of(path: Column) -> Column:
     """text, docx or pdf by suffix; another suffix is an error."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
