@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -49,22 +50,43 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: it cuts lineage and survives a lost executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.quire_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(os.path.dirname(path))
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended
+        if path.startswith("file:"):
+            import shutil
+
+            shutil.rmtree(os.path.dirname(path.removeprefix("file://")), ignore_errors=True)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete shared tables whose last reader has been written."""
+    for path in (t.quire_path for t in tables):
+        spark = next(s for s, p in _tables if p == path)
+        _tables.remove((spark, path))
+        delete(spark, path)
+
+
+@contextmanager
+def tables():
+    """The shared tables written within are deleted at the end, unless kept by then."""
+    before = len(_tables)
+    yield
+    drop_tables(before)
 
 
 def drop_tables(keep: int = 0) -> None:
     """Delete the shared tables written so far, but the first keep."""
     while len(_tables) > keep:
-        spark, path = _tables.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(os.path.dirname(path))
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended
-            if path.startswith("file:"):
-                import shutil
-
-                shutil.rmtree(os.path.dirname(path.removeprefix("file://")), ignore_errors=True)
+        delete(*_tables.pop())
 
 
 @atexit.register
