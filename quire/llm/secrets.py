@@ -3,9 +3,10 @@
 Every version of a text is content-addressed (SHA-256). The ledger, Parquet in a folder, holds which (blob, rule, rule version) pairs were scanned and the findings. A scan takes the pairs that the ledger lacks,
 reads each such blob once, wherever and however often it stands, adds its rows, and the findings are joined back to all paths. A rule whose version changes is scanned anew, the others are not.
 
-Rules: base ones are leftmost and non-overlapping within a rule, and matches under the least length are dropped. The further rules add spans of their own.
+Rules: base ones are leftmost and non-overlapping within a rule, and matches under the least length are dropped. The further rules add spans of their own. No pattern starts anew within a run that it has read
+and none takes a run back, so a text is scanned in time linear in its length, however long its runs are.
 
-Edge cases: null texts are empty blobs; repeated rows and paths with equal texts all get the blob's findings; an empty table gives no rows and leaves the ledger unchanged;
+Edge cases: null texts are empty blobs; very long texts are scanned whole, in a bounded number of passes; repeated rows and paths with equal texts all get the blob's findings; an empty table gives no rows and leaves the ledger unchanged;
 other columns are ignored.
 """
 
@@ -43,10 +44,10 @@ RULES = (
     Rule("assign", 1, rf"{ASSIGN}([A-Za-z0-9+/_.=-]+)", rf"{ASSIGN}[A-Za-z0-9+/_.=-]{{6}}", 1, 6, True),
     Rule("access", 1, r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16}", 0, 20, True),
     Rule("hex", 1, r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24, True),
-    Rule("upper_hex", 1, r"(?<![0-9A-Za-z])(?=[A-F0-9]*[A-F])(?=[A-F0-9]*[0-9])[0-9A-F]{32,}(?![0-9A-Za-z])", r"[0-9A-F]{32}", 0, 32),
+    Rule("upper_hex", 2, r"(?<![0-9A-F])(?:[0-9]++[A-F]|[A-F]++[0-9])[0-9A-F]*+", r"[0-9A-F]{32}", 0, 32),
     Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", r"PRIVATE KEY-----"),
-    Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{8}"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]{4,}@", r"://[^\s/:@]+:[^\s/@]{4}"),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", r"eyJ[A-Za-z0-9_-]{8}"),
+    Rule("url_login", 2, r"(?<![a-z0-9+.-])[a-z0-9+.-]++://[^ \t-\r/:@]++:[^ \t-\r/@]{4,}+@", r"://[^ \t-\r/:@]+:[^ \t-\r/@]{4}"),
 )
 
 
@@ -65,7 +66,7 @@ FINDINGS = "blob string, kind string, version int, begin int, stop int"
 
 
 class Ledger:
-    """The ledger's two tables. Each scan appends one folder to each, so a scan that fails leaves nothing half-told: findings are written first, and count only with their scan."""
+    """The ledger's two tables. Findings are written before their scan is told, so a scan that fails in between is made again; what a blob and a rule's version give is always the same, so its findings, then written twice, count once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
