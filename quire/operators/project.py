@@ -13,6 +13,7 @@ from quire.functions import text as T
 from quire.operators import align, slicing, translate
 from quire.operators.chunking import ARABIC, Profile, chunk_documents
 from quire.operators.translate import Config
+from quire.sources import store
 
 # References and definitions of footnotes, and the headings under which they stand.
 REFERENCE = r"\[\^?(\d+)\]"
@@ -111,7 +112,7 @@ class Slice:
 
 @dataclass(frozen=True)
 class Project:
-    """A book's manifest. Written as a one-row JSON table, whose commit is atomic."""
+    """A book's manifest: a JSON file, written under another name and renamed, so that it is the old one or the new one at any time."""
 
     name: str
     source: str
@@ -127,11 +128,12 @@ class Project:
     slices: tuple[Slice, ...] = field(default_factory=tuple)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(json.dumps(asdict(self), ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        folder, _, name = path.rpartition("/")
+        store.Folder(spark, folder or ".").save(name, asdict(self))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Project:
-        data = json.loads(spark.read.text(path).first()[0])
+        data = json.loads(spark.read.text(path, wholetext=True).first()[0])
         known = Project.__dataclass_fields__
         return Project(**{k: v for k, v in data.items() if k in known and k != "slices"}, slices=tuple(Slice(**s) for s in data.get("slices", ())))
 

@@ -1,4 +1,4 @@
-"""The per-chunk provider stage. The default provider is a deterministic dry run, as expressions; real ones are a callable that runs in order within each document, since a chunk's prompt holds what the chunk before gave."""
+"""The per-chunk provider stage. The default provider is a deterministic dry run, as expressions; real ones are a callable that is asked in waves, one chunk of each document at a time, since a chunk's prompt holds what the chunk before gave."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import align
+from quire.operators import align, terms, verify
 from quire.operators.chunking import ARABIC, Profile, chunk_documents
+from quire.sources import store
 
 # Subjects by domain, for prompts.
 DOMAINS = ("mantiq", "fiqh", "aqida", "akhlaaq", "tadabbur", "thaqafa", "tarikh", "general")
@@ -102,8 +104,12 @@ def verify_message(source: Column | str, draft: Column | str) -> Column:
 
 
 def recovery_message(missing: Column, source: Column | str) -> Column:
-    """Asks for the paragraphs whose tags are missing."""
-    return F.concat(F.lit("These paragraphs have no translation: "), F.array_join(F.transform(missing, lambda i: F.concat(F.lit("[P"), i.cast("string"), F.lit("]"))), ", "), F.lit(". Translate them, each after its tag.\n\n"), T.text_of(source))
+    """Asks for the paragraphs whose tags are missing, and holds those only."""
+
+    def lost(paragraphs: Column) -> Column:
+        return F.array_join(F.transform(missing, lambda i: F.concat(F.lit("[P"), i.cast("string"), F.lit("]\n"), F.get(paragraphs, i - 1))), "\n\n")
+
+    return F.concat(F.lit("These paragraphs have no translation. Translate them, each after its tag.\n\n"), align.once(align.paragraphs(T.clean_tags(source)), lost))
 
 
 # the dry run, as expressions
@@ -169,71 +175,122 @@ def with_retries(call: Callable[[], str], retries: int = RETRIES, backoff: float
     raise ValueError("no tries")
 
 
-def trailing(text: str, max_tokens: int) -> str:
-    """trailing_context() outside Spark."""
-    most = int(max_tokens * T.CHARS_PER_TOKEN)
-    if max_tokens <= 0 or len(text) <= most:
-        return text.strip() if max_tokens > 0 else ""
-    tail = text[-most:]
-    return tail.partition(" ")[2].strip() if " " in tail else tail.strip()
+def call(rows: DataFrame, provider: Provider, system: str, ask: str, answer: str, delay: float = 0.0, fallback: str | None = None) -> DataFrame:
+    """rows with the provider's answers to their messages; fallback: the column that stands in for an answer whose call fails. Keep speculative execution off for paid calls."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            answers = []
+            for i, message in enumerate(pdf[ask]):
+                try:
+                    answers.append(with_retries(lambda message=message: provider(system, message)))
+                except Exception:
+                    if fallback is None:
+                        raise
+                    answers.append(pdf[fallback].iloc[i])
+                if delay:
+                    time.sleep(delay)
+            yield pdf.assign(**{answer: answers})
+
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{answer}` string")
+
 
+@dataclass(frozen=True)
+class Run:
+    """What a run made. outputs: by, chunk_index, output, final. memory: the terms learned. entries: by, chunk_index (from 1), total_chunks, has_corrections, audit_notes, novel_terms of verified chunks."""
 
-def message(chunk: str, language: str, prev_target: str, prev_source: str, terms: str) -> str:
-    """user_message() outside Spark."""
-    parts = [f'[Source before this part, not to be translated again]:\n"""\n{prev_source.strip()}\n"""'] * bool(prev_source.strip())
-    parts += [f'[{language} translation before this part, for its terms]:\n"""\n{prev_target.strip()}\n"""'] * bool(prev_target.strip())
-    parts += [terms.strip()] * bool(terms.strip())
-    ask = f"Translate this part into {language}:\n\n{chunk}"
-    return "\n\n".join(parts) + "\n\n---\n\n" + ask if parts else ask
+    outputs: DataFrame
+    memory: DataFrame
+    entries: DataFrame
 
 
-def translate_in_order(chunks: DataFrame, provider: Provider, cfg: Config, by: str = "doc_id", glossary: str = "", done: DataFrame | None = None) -> DataFrame:
-    """by, chunk_index, output: each document's chunks one after another, documents in parallel.
+MEMORY = "arabic string, target string, source_chunk int, seq bigint"
+WAVE = "output string, final string, audit_notes string, novel_terms array<struct<arabic:string,target:string>>, has_corrections boolean"
 
-    done: (by, chunk_index, output) of an earlier run; its chunks aren't asked for again, and its last output is the context of what follows. Keep speculative execution off for paid calls."""
-    rows = chunks.select(by, "chunk_index", "chunk_text", "prev_context")
-    if done is None:
-        rows = rows.withColumn("before", F.lit(None).cast("string"))
-    else:
-        rows = rows.join(done.select(by, "chunk_index", F.col("output").alias("before")), [by, "chunk_index"], "left")
-    system, language, overlap, delay = system_prompt(cfg, glossary), cfg.language, cfg.overlap, cfg.chunk_delay
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, last = object(), ""
-        for pdf in batches:
-            out = []
-            for d, i, text, source, before in pdf[[by, "chunk_index", "chunk_text", "prev_context", "before"]].itertuples(index=False):
-                if d != doc:
-                    doc, last = d, ""
-                if before is None or before != before:
-                    answer = with_retries(lambda text=text, source=source, last=last: provider(system, message(text, language, trailing(last, overlap), source or "", "")))
-                    if delay:
-                        time.sleep(delay)
-                else:
-                    answer = before
-                last = answer
-                out.append((d, i, answer))
-            yield pd.DataFrame(out, columns=[by, "chunk_index", "output"])
-
-    kind = chunks.schema[by].dataType.simpleString()
-    return rows.repartition(by).sortWithinPartitions(by, "chunk_index").mapInPandas(run, f"{by} {kind}, chunk_index int, output string")
+def wave_messages(wave: DataFrame, last: DataFrame, memory: DataFrame, cfg: Config, by: str) -> DataFrame:
+    """wave (by, chunk_index, chunk_text, prev_context) with `__ask`: the chunk, the end of the output before it (last: by, before), and the last terms settled."""
+    block = terms.prompt_terms(memory, by=(by,)).withColumnRenamed("block", "__block")
+    rows = wave.join(last, by, "left").join(block, by, "left")
+    text = align.tagged("chunk_text") if cfg.bilingual else F.col("chunk_text")
+    return rows.withColumn("__ask", user_message(text, cfg.target_lang, T.trailing_context("before", cfg.overlap), "prev_context", "__block")).drop("before", "__block")
+
+
+def learned(done: DataFrame, memory: DataFrame, by: str) -> DataFrame:
+    """memory with the terms that verified answers list, then those that the final texts explain; the first of a term stays."""
+    of_audit = done.select(by, "chunk_index", F.posexplode("novel_terms").alias("pos", "t"), F.lit(0).alias("part"))
+    of_text = done.select(by, "chunk_index", F.posexplode(F.transform(terms.text_terms("final"), lambda t: F.struct(t["arabic"], t["target"]))).alias("pos", "t"), F.lit(1).alias("part"))
+    place = F.col("chunk_index").cast("bigint") * (1 << 32) + F.col("part").cast("bigint") * (1 << 31) + F.col("pos")
+    new = of_audit.unionByName(of_text).select(by, F.col("t.arabic").alias("arabic"), F.col("t.target").alias("target"), (F.col("chunk_index") + 1).cast("int").alias("source_chunk"), place.alias("seq"))
+    return terms.record(new, memory, (by,)).drop("is_new")
+
+
+def translate_run(chunks: DataFrame, provider: Provider, cfg: Config, by: str = "doc_id", glossary: str = "", done: DataFrame | None = None, verifier: Provider | None = None, memory: DataFrame | None = None, folder: str | None = None) -> Run:
+    """Chunks in waves: the first of every document, then the second of every document, and so on, as a chunk's message holds what the one before gave and what was learned up to it.
+
+    A wave is one job over all documents; only the provider's call is Python. Its answers, recovered where tags are missing and verified if cfg.verify, are written to `folder` before the next wave begins, and so is the memory.
+    A run that finds waves there goes on after them, if the same run wrote them (source, settings); a folder of another run is cleared. done: (by, chunk_index, output) of chunks that need no call.
+    memory: by, arabic, target, source_chunk, seq of terms known before. Without a folder, one of the shared folder is used and left to its owner."""
+    spark, kind = chunks.sparkSession, chunks.schema[by].dataType.simpleString()
+    book = store.Folder(spark, folder or store.scratch(spark, "runs"))
+    rows = chunks.select(by, "chunk_index", "chunk_text", "prev_context")
+    n, source = rows.agg(F.max("chunk_index"), F.sum(F.xxhash64(by, "chunk_index", "chunk_text").cast("decimal(38,0)"))).first()
+    waves = -1 if n is None else n
+    same = {"source": str(source), "waves": waves, "target_lang": cfg.target_lang.lower(), "domain": cfg.domain.lower(), "bilingual": cfg.bilingual, "verify": cfg.verify}
+    if book.load("manifest") != same:
+        book.clear()
+        book.save("manifest", same)
+    system, check = system_prompt(cfg, glossary), verifier_prompt(cfg)
+    none = F.array().cast("array<struct<arabic:string,target:string>>")
+    memory = spark.createDataFrame([], f"{by} {kind}, {MEMORY}") if memory is None else memory
+    last = spark.createDataFrame([], f"{by} {kind}, before string")
+    made = []
+    for i in range(waves + 1):
+        if not book.has(f"wave-{i}"):
+            wave = rows.where(F.col("chunk_index") == i)
+            if done is not None:
+                known = done.where(F.col("chunk_index") == i).select(by, F.col("output").alias("__known"))
+                wave = wave.join(known, by, "left")
+                kept = wave.where("__known is not null").select(by, "chunk_index", F.col("__known").alias("output"), F.col("__known").alias("final"), F.lit(None).cast("string").alias("audit_notes"), none.alias("novel_terms"), F.lit(None).cast("boolean").alias("has_corrections"))
+                wave = wave.where("__known is null").drop("__known")
+            told = call(wave_messages(wave, last, memory, cfg, by), provider, system, "__ask", "draft", cfg.chunk_delay).drop("__ask")
+            told = book.put(f"draft-{i}", told)  # paid answers are read, never asked for twice
+            if cfg.bilingual:
+                told = recover_missing(told.withColumn("draft", T.sanitize("draft")), provider, cfg, output="draft")
+            if cfg.verify:
+                told = book.put(f"recovered-{i}", told)
+                source_text = align.tagged("chunk_text") if cfg.bilingual else F.col("chunk_text")
+                told = call(told.withColumn("__ask", verify_message(source_text, "draft")), verifier or provider, check, "__ask", "response", fallback="draft").drop("__ask")
+                told = verify.verified_chunks(told).withColumnRenamed("verified", "final")
+            else:
+                told = told.withColumn("final", F.col("draft")).withColumns({"audit_notes": F.lit(None).cast("string"), "novel_terms": none, "has_corrections": F.lit(None).cast("boolean")})
+            if cfg.bilingual:
+                told = align.with_bilingual_markdown(told.withColumn("final", T.sanitize("final")), "chunk_text", "final", "output", cfg.strip_vowels, cfg.keep_shaddah)
+            else:
+                told = told.withColumn("output", F.col("final"))
+            columns = [by, "chunk_index", *[c.split()[0] for c in ("output", "final", "audit_notes", "novel_terms", "has_corrections")]]
+            told = told.select(*columns)
+            book.put(f"wave-{i}", told if done is None else told.unionByName(kept))
+        wave = book.get(f"wave-{i}")
+        memory = book.get(f"memory-{i}") if book.has(f"memory-{i}") else book.put(f"memory-{i}", learned(wave, memory, by))
+        last = wave.select(by, F.col("output").alias("before"))
+        made.append(wave)
+    every = reduce(DataFrame.unionByName, made) if made else spark.createDataFrame([], f"{by} {kind}, chunk_index int, {WAVE}")
+    total = rows.groupBy(by).agg(F.count("*").cast("int").alias("total_chunks"))
+    entries = every.where("has_corrections is not null").join(total, by).select(by, (F.col("chunk_index") + 1).alias("chunk_index"), "total_chunks", "has_corrections", "audit_notes", "novel_terms")
+    return Run(every.select(by, "chunk_index", "output", "final"), memory, entries)
+
+
+def translate_in_order(chunks: DataFrame, provider: Provider, cfg: Config, by: str = "doc_id", glossary: str = "", done: DataFrame | None = None, **options) -> DataFrame:
+    """by, chunk_index, output of translate_run(); of bilingual runs the answers themselves, which the caller pairs."""
+    out = translate_run(chunks, provider, cfg, by, glossary, done, **options).outputs
+    return out.select(by, "chunk_index", (F.col("final") if cfg.bilingual else F.col("output")).alias("output"))
 
 
 def recover_missing(rows: DataFrame, provider: Provider, cfg: Config, source: str = "chunk_text", output: str = "output") -> DataFrame:
     """rows with their lost paragraphs asked for once more and put after the answer; a call that fails leaves the answer as it is. Only rows that lack tags reach the provider."""
     need = rows.withColumn("__missing", align.missing_tags(source, output))
-    fine, lost = need.where(F.size("__missing") == 0).drop("__missing"), need.where(F.size("__missing") > 0)
-    system = system_prompt(cfg)
-    lost = lost.withColumn("__ask", recovery_message(F.col("__missing"), source)).drop("__missing")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers = []
-            for text, ask in zip(pdf[output], pdf["__ask"], strict=True):
-                try:
-                    answers.append(f"{text}\n\n{with_retries(lambda ask=ask: provider(system, ask))}")
-                except Exception:
-                    answers.append(text)
-            yield pdf.assign(**{output: answers}).drop(columns="__ask")
-
-    return fine.unionByName(lost.mapInPandas(run, fine.schema))
+    lost = need.where(F.size("__missing") > 0).withColumn("__ask", recovery_message(F.col("__missing"), source)).withColumn("__none", F.lit(""))
+    got = call(lost, provider, system_prompt(cfg), "__ask", "__more", fallback="__none")
+    got = got.withColumn(output, F.when(F.col("__more") == "", F.col(output)).otherwise(F.concat(F.col(output), F.lit("\n\n"), T.sanitize("__more"))))
+    return need.where(F.size("__missing") == 0).select(*rows.columns).unionByName(got.select(*rows.columns))

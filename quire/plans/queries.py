@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import normalize as N
@@ -378,6 +378,17 @@ def audit_report_counts(spark, sf_dir):
     return verify.audit_report(rows, "en", "mantiq", "m", "dry-run", "v").select("total", "corrected")
 
 
+#: A run in waves over each conversation's turns, with a provider that tells its message's length: each output's length is part of the next message.
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, turn, {strip("coalesce(text, '')")} AS bare, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+r AS (SELECT conv_id, i, (length('Translate this part into English:') + 2 + length(text))::BIGINT AS n FROM c WHERE i = 0
+      UNION ALL SELECT c.conv_id, c.i, length('[English translation before this part, for its terms]:') + 5 + length('told ' || r.n) + 4 + 7 + length('Translate this part into English:') + 2 + length(c.text) FROM r JOIN c ON c.conv_id = r.conv_id AND c.i = r.i + 1)
+SELECT conv_id, i::INT AS chunk_index, 'told ' || n AS output FROM r""")
+def ordered_run(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("chunk_index", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("int"))
+    chunks = turns.select("conv_id", "chunk_index", F.coalesce("text", F.lit("")).alias("chunk_text"), F.lit("").alias("prev_context"))
+    return translate.translate_run(chunks, lambda system, message: f"told {len(message)}", translate.Config(chunk_delay=0), "conv_id").outputs.select("conv_id", "chunk_index", "output")
+
+
 # layout
 
 BLOCKS = [

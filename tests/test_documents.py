@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import align, chunking, layout, project, render, slicing, terms, translate, verify
-from quire.sources import files
+from quire.sources import files, store
 
 BOOK = "المقدمة الأولى في العلم\nالعلم حضور.\n\nالفصل الأول في الحد\nفإن قيل: ما الحد؟ قلنا: الحد قول. ومن هنا يعلم.\nالفصل الثاني\nوالحاصل أن القياس قول، مؤلف من قضايا، إذا سلمت لزم عنها قول آخر.\nالخاتمة\nتم"
 
@@ -138,6 +138,67 @@ def test_resume_equals_whole_run(spark):
     assert calls.value - n == n - done.count()
 
 
+def test_terms_learned_in_order(spark):
+    """A chunk's message holds what earlier chunks of its own document taught, and no other's."""
+    chunks = spark.createDataFrame([(d, i, f"text {d} {i}", "") for d in (1, 2) for i in range(3)], "doc_id int, chunk_index int, chunk_text string, prev_context string")
+
+    def provider(system, message):
+        d, i = message.split("text ")[1].split()[:2]
+        seen = [w for w in ("logic", "bound") if f": {w}\n" in message + "\n"]
+        new = {("1", "0"): "the logic (المنطق)", ("1", "1"): "the bound (الحد)"}.get((d, i), "nothing")
+        return f"{new}; saw {','.join(seen)}"
+
+    run = translate.translate_run(chunks, provider, translate.Config(chunk_delay=0))
+    got = {(r.doc_id, r.chunk_index): r.output.split("saw ")[1] for r in run.outputs.collect()}
+    assert got == {(1, 0): "", (1, 1): "logic", (1, 2): "logic,bound", (2, 0): "", (2, 1): "", (2, 2): ""}
+    assert {(r.doc_id, r.arabic, r.target, r.source_chunk) for r in run.memory.collect()} == {(1, "المنطق", "logic", 1), (1, "الحد", "bound", 2)}
+
+
+def test_verified_run_is_resumed(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, i, "نص أول\n\nنص ثان", "") for i in range(3)], "doc_id int, chunk_index int, chunk_text string, prev_context string")
+    calls, broken = spark.sparkContext.accumulator(0), str(tmp_path / "broken")
+
+    def provider(system, message):
+        calls.add(1)
+        if message.startswith("SOURCE:"):
+            import os
+
+            if os.path.exists(broken):
+                raise KeyError("down")
+            return "### AUDIT NOTES:\nfixed\n### NOVEL TERMS:\n- الحد: term\n### VERIFIED TRANSLATION:\n[P1]\nfirst, checked"
+        return "[P2]\nsecond, again" if "have no translation" in message else "[P1]\nfirst"
+
+    cfg = translate.Config(chunk_delay=0, verify=True, bilingual=True)
+    run = translate.translate_run(chunks, provider, cfg, folder=f"file://{tmp_path}/run")
+    rows = sorted(run.outputs.collect())
+    assert all("first, checked" in r.output and "second, again" in r.output and "نص ثان" in r.output for r in rows) and calls.value == 9
+    assert [(r.chunk_index, r.total_chunks, r.has_corrections, r.audit_notes) for r in run.entries.orderBy("chunk_index").collect()] == [(i, 3, True, "fixed") for i in (1, 2, 3)]
+    report = verify.audit_report(run.entries, "en", "mantiq", "m", "p", "v").first()
+    assert report.corrected == 3 and "الحد" in report.report and "## Chunk 3 of 3: corrected" in report.report
+    # the last wave is lost: only its chunk is asked for again; a draft that is there is not
+    folder = store.Folder(spark, f"file://{tmp_path}/run")
+    for name in ("wave-2", "memory-2", "recovered-2"):
+        folder.clear(name)
+    again = translate.translate_run(chunks, provider, cfg, folder=f"file://{tmp_path}/run")
+    assert sorted(again.outputs.collect()) == rows and calls.value == 9 + 2
+    # other settings are another run; a verifier that fails leaves the draft
+    (tmp_path / "broken").touch()
+    other = translate.translate_run(chunks.where("chunk_index = 0"), provider, cfg, folder=f"file://{tmp_path}/run")
+    assert other.outputs.count() == 1 and "first, checked" not in other.outputs.first().output and not other.entries.first().has_corrections
+
+
+def test_folder(spark, tmp_path):
+    folder = store.Folder(spark, f"file://{tmp_path}/f")
+    folder.save("a", {"x": "ä"})
+    folder.save("a", {"x": 2})
+    assert folder.load("a") == {"x": 2} and folder.load("b") is None
+    (tmp_path / "f" / "bad").write_text("{")
+    assert folder.load("bad") is None
+    assert folder.put("t", spark.range(3)).count() == 3 and folder.put("t", spark.range(9)).count() == 3
+    folder.clear()
+    assert not folder.has("t") and not folder.has("a")
+
+
 def test_retries():
     waits, left = [], [2]
 
