@@ -4,16 +4,18 @@ A shard holds the token ids of a run of documents, in ascending order of their i
 Its sequence is kept as bit-planes, the highest bit first; at each level the sequence is parted, stably, into the ids with bit 0
 and those with bit 1, so one file answers token access, counts (rank) and occurrence lookup (select) in one pass over the planes.
 
-File (little-endian): b"QWM1", planes u8, 3 bytes of zero, documents u64, tokens u64; then zstd frames, each led by its length u64:
-the token counts of the documents (u32), then one frame for each plane (bits, the first in the highest bit of a byte).
+File (little-endian): b"QWM2", planes u8, 3 bytes of zero, documents u64, tokens u64; then zstd frames, each led by its length u64:
+the token counts of the documents (u32), then three frames for each plane: its bits (the first in the highest bit of a byte, up to whole blocks of 512), the ones before each 4096 bits (u32), and the ones
+before each 512 bits from there (u16). The directory is 4 % of the bits; with it rank takes a few steps and select a binary search, both on the packed bits.
 The shards are written by Spark's Parquet writer, one row for each, so that a lost executor leaves no half shard.
 
-Edge cases: null and empty texts hold the end id only; an empty table gives no shards and no rows; repeated rows and ties of the document id
+Edge cases: null and empty texts hold the end id only; a very long text is in one shard, which is as large as it has to be; an empty table gives no shards and no rows; repeated rows and ties of the document id
 are all kept, in any order among themselves; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import common
 
-MAGIC = b"QWM1"
+MAGIC = b"QWM2"
 END_ID = 1
 #: Tokens after which a shard is closed; one document is never split.
 SHARD_TOKENS = 1 << 20
@@ -127,6 +129,26 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+#: Bits of a block, whose ones are counted one by one, and of a superblock.
+BLOCK, SUPER = 512, 4096
+
+
+def directory(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ones before each superblock (u32), and before each block within its superblock (u16). packed: whole blocks."""
+    ones = np.bitwise_count(packed).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
+    before = np.concatenate([[0], np.cumsum(ones)])[:-1]
+    supers = before[:: SUPER // BLOCK]
+    return supers.astype("<u4"), (before - np.repeat(supers, SUPER // BLOCK)[: len(before)]).astype("<u2")
+
+
+def packed_bits(on: np.ndarray) -> np.ndarray:
+    """Bits in bytes, filled up to whole blocks, of which there is one at least."""
+    out = np.zeros(max(1, -(-len(on) // BLOCK)) * (BLOCK // 8), np.uint8)
+    bits = np.packbits(on)
+    out[: len(bits)] = bits
+    return out
+
+
 def build(ids: np.ndarray, counts: np.ndarray) -> bytes:
     """A shard's file."""
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
@@ -135,55 +157,88 @@ def build(ids: np.ndarray, counts: np.ndarray) -> bytes:
     for level in range(planes - 1, -1, -1):
         bit = (now >> np.array(level, now.dtype)) & np.array(1, now.dtype)
         on = bit.astype(bool)
-        frames.append(pack(np.packbits(on).tobytes()))
+        packed = packed_bits(on)
+        frames += [pack(packed.tobytes()), *(pack(d.tobytes()) for d in directory(packed))]
         if level:
             now = np.concatenate([now[~on], now[on]])
     return MAGIC + struct.pack("<B3xQQ", planes, len(counts), len(ids)) + b"".join(struct.pack("<Q", len(f)) + f for f in frames)
 
 
+class Plane:
+    """A level's bits, kept packed, with its directory: rank in a constant number of steps, select by binary search in the directory."""
+
+    def __init__(self, bits: bytes, supers: bytes, blocks: bytes, n: int):
+        self.bits, self.supers, self.blocks, self.n = np.frombuffer(bits, np.uint8), np.frombuffer(supers, "<u4"), np.frombuffer(blocks, "<u2"), n
+        self.zeros = n - self.ones(n)
+
+    def __getitem__(self, i: int) -> int:
+        return int(self.bits[i >> 3]) >> (7 - (i & 7)) & 1
+
+    def ones(self, i: int) -> int:
+        """The ones before place i."""
+        if i >= len(self.bits) * 8:
+            i, more = i - 1, self[i - 1]
+        else:
+            more = 0
+        block = i // BLOCK
+        out = int(self.supers[i // SUPER]) + int(self.blocks[block]) + int(np.bitwise_count(self.bits[block * (BLOCK // 8) : i >> 3]).sum())
+        return out + more + (int(self.bits[i >> 3]) >> (8 - (i & 7))).bit_count()
+
+    def select(self, on: int, k: int) -> int:
+        """The place of the one (or zero) number k, from 0."""
+        of_super = lambda s: int(self.supers[s]) if on else s * SUPER - int(self.supers[s])
+        top = bisect.bisect_right(range(len(self.supers)), k, key=of_super) - 1
+        k -= of_super(top)
+        first, end = top * (SUPER // BLOCK), min((top + 1) * (SUPER // BLOCK), len(self.blocks))
+        of_block = lambda b: int(self.blocks[b]) if on else (b - first) * BLOCK - int(self.blocks[b])
+        block = first + bisect.bisect_right(range(first, end), k, key=of_block) - 1
+        k -= of_block(block)
+        bits = np.unpackbits(self.bits[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)])
+        return block * BLOCK + int(np.flatnonzero(bits == on)[k])
+
+    def unpacked(self) -> np.ndarray:
+        return np.unpackbits(self.bits, count=self.n)
+
+
 class Shard:
-    """A shard's file, opened. Rank structures are made when first asked for."""
+    """A shard's file, opened: its planes stay packed, and what is asked is answered from them and their directories."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
-        self.planes, self.n_docs, self.n = struct.unpack_from("<B3xQQ", data, 4)
+        levels, self.n_docs, self.n = struct.unpack_from("<B3xQQ", data, 4)
         at, unpack, frames = 24, zstandard.ZstdDecompressor().decompress, []
         while at < len(data):
             size = struct.unpack_from("<Q", data, at)[0]
             frames.append(unpack(data[at + 8 : at + 8 + size]))
             at += 8 + size
         self.counts = np.frombuffer(frames[0], "<u4").astype(np.int64)
-        self.bits = [np.unpackbits(np.frombuffer(f, np.uint8), count=self.n) for f in frames[1:]]
-        self.zeros = [self.n - int(b.sum(dtype=np.int64)) for b in self.bits]
-        self._ones: list[np.ndarray] | None = None
-
-    @property
-    def ones(self) -> list[np.ndarray]:
-        """For each plane, the ones before each place."""
-        if self._ones is None:
-            self._ones = [np.concatenate([[0], np.cumsum(b, dtype=np.int64)]) for b in self.bits]
-        return self._ones
+        self.planes = [Plane(*frames[1 + 3 * i : 4 + 3 * i], self.n) for i in range(levels)]
 
     def access(self, i: int) -> int:
         """The id at place i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         token = 0
-        for bits, ones, zeros in zip(self.bits, self.ones, self.zeros, strict=True):
-            on = int(bits[i])
+        for plane in self.planes:
+            on, ones = plane[i], plane.ones(i)
             token = token << 1 | on
-            i = zeros + int(ones[i]) if on else i - int(ones[i])
+            i = plane.zeros + ones if on else i - ones
         return token
 
+    def _range(self, token: int, end: int) -> tuple[int, int]:
+        """Where the id's occurrences before place end stand below the lowest plane."""
+        at = 0
+        for level, plane in enumerate(self.planes):
+            before, upto = plane.ones(at), plane.ones(end)
+            at, end = (plane.zeros + before, plane.zeros + upto) if token >> (len(self.planes) - 1 - level) & 1 else (at - before, end - upto)
+        return at, end
+
     def rank(self, token: int, end: int) -> int:
         """How often the id stands before place end."""
-        if token >> self.planes:
+        if token >> len(self.planes):
             return 0
-        at, end = 0, min(max(end, 0), self.n)
-        for level, (ones, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
-            on = token >> (self.planes - 1 - level) & 1
-            at, end = (zeros + int(ones[at]), zeros + int(ones[end])) if on else (at - int(ones[at]), end - int(ones[end]))
+        at, end = self._range(token, min(max(end, 0), self.n))
         return end - at
 
     def count(self, token: int) -> int:
@@ -191,20 +246,15 @@ class Shard:
 
     def select(self, token: int, k: int) -> int:
         """The place of the id's occurrence number k, from 0."""
-        if not 0 <= k < self.count(token):
+        if token >> len(self.planes):
+            raise IndexError(k)
+        at, end = self._range(token, self.n)
+        if not 0 <= k < end - at:
             raise IndexError(k)
-        at = 0
-        for level, (ones, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
-            on = token >> (self.planes - 1 - level) & 1
-            at = zeros + int(ones[at]) if on else at - int(ones[at])
         at += k
-        for level in range(self.planes - 1, -1, -1):
-            ones, zeros = self.ones[level], self.zeros[level]
-            if token >> (self.planes - 1 - level) & 1:
-                at = int(np.searchsorted(ones, at - zeros + 1)) - 1
-            else:
-                off = np.arange(len(ones)) - ones
-                at = int(np.searchsorted(off, at + 1)) - 1
+        for level, plane in reversed(list(enumerate(self.planes))):
+            on = token >> (len(self.planes) - 1 - level) & 1
+            at = plane.select(on, at - plane.zeros if on else at)
         return at
 
     def occurrences(self, token: int) -> list[int]:
@@ -212,15 +262,16 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids: from the lowest plane up, each level's parting undone."""
-        now = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
-        for level in range(self.planes - 1, -1, -1):
-            on = self.bits[level].view(bool)
-            if level == self.planes - 1:
-                now = self.bits[level].astype(now.dtype)
+        levels = len(self.planes)
+        now = np.zeros(self.n, np.uint16 if levels <= 16 else np.uint32)
+        for level, plane in reversed(list(enumerate(self.planes))):
+            bits = plane.unpacked()
+            if level == levels - 1:
+                now = bits.astype(now.dtype)
             else:
-                up = np.empty_like(now)
-                up[~on] = now[: self.zeros[level]]
-                up[on] = now[self.zeros[level] :] | np.array(1 << (self.planes - 1 - level), now.dtype)
+                on, up = bits.view(bool), np.empty_like(now)
+                up[~on] = now[: plane.zeros]
+                up[on] = now[plane.zeros :] | np.array(1 << (levels - 1 - level), now.dtype)
                 now = up
         return now
 
@@ -280,6 +331,19 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(before, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """part, seq, n, places (from the shard's start) of an id, for each shard that has it: from the shards' bit-planes, which are not decoded."""
+    shards = spark.read.schema(SHARDS).parquet(path).select("part", "seq", "payload")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "payload")), strict=True):
+                if places := Shard(payload).occurrences(token):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(places)], pa.int64()), pa.array([places], pa.list_(pa.int64()))], names=["part", "seq", "n", "places"])
+
+    return shards.mapInArrow(find, "part int, seq int, n bigint, places array<bigint>")
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Write the shards to the shared folder and read them back."""
     path = common.new_path(docs.sparkSession, "shards")
