@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import align, slicing, translate
+from quire.operators import slicing, translate
 from quire.operators.chunking import ARABIC, Profile, chunk_documents
 from quire.operators.translate import Config
 from quire.sources import store
@@ -165,8 +165,8 @@ def page_window(project: Project, pages: str | None = None, take: int | None = N
     return first, last
 
 
-def continue_project(spark: SparkSession, project: Project, text: str, cfg: Config, pages: str | None = None, take: int | None = None, all_pages: bool = False, provider: translate.Provider | None = None, profile: Profile = ARABIC, now: str | None = None) -> Project:
-    """One more slice of a book: its pages are cut, chunked with the end of the slice before as context, translated (dry, without a provider), renumbered and appended."""
+def continue_project(spark: SparkSession, project: Project, text: str, cfg: Config, pages: str | None = None, take: int | None = None, all_pages: bool = False, provider: translate.Provider | None = None, profile: Profile = ARABIC, now: str | None = None, glossary: str = "", **options) -> Project:
+    """One more slice of a book: its pages are cut, chunked with the end of the slice before as context, translated (dry, without a provider), renumbered and appended. options: of translate_run()."""
     first, last = page_window(project, pages, take, all_pages)
     book = spark.createDataFrame([(1, text, project.trailing_source)], "doc_id bigint, text string, before string")
     part = book.select("doc_id", slicing.slice_pages("text", first - 1, last - first + 1).alias("text"), "before")
@@ -175,10 +175,7 @@ def continue_project(spark: SparkSession, project: Project, text: str, cfg: Conf
     if provider is None:
         done = translate.dry_run(chunks, cfg)
     else:
-        done = translate.translate_in_order(chunks, provider, cfg)
-        if cfg.bilingual:
-            done = done.withColumnRenamed("output", "__answer").join(chunks.select("doc_id", "chunk_index", "chunk_text"), ["doc_id", "chunk_index"])
-            done = align.with_bilingual_markdown(done, "chunk_text", "__answer", "output", cfg.strip_vowels, cfg.keep_shaddah)
+        done = translate.translate_run(chunks, provider, cfg, glossary=glossary, **options).outputs
     out = translate.join_outputs(done).select(offset_footnotes("output", project.max_footnote).alias("o"))
     row = out.select("o.text", "o.max", inspect("o.text").alias("i")).first()
     size = part.select(F.length("text")).first()[0]

@@ -55,6 +55,8 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
 
 BLOCKS = "path string, page_id int, block_no int, block_type int, x0 double, y0 double, x1 double, y1 double, font_size double, text string"
+#: What a PDF page is read into: its size (x1, y1), its text blocks, the ends of its drawn lines.
+PARTS = f"kind string, {BLOCKS}"
 BLUE = 0x24408F
 
 
@@ -65,8 +67,29 @@ def styled_block(spans: list[list[tuple[str, int, float]]]) -> tuple[str, float]
     return "\n".join(lines), sum(sizes) / len(sizes) if sizes else 12.0
 
 
-def read_pdf_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Text blocks with their places. Needs the optional `pymupdf` package."""
+def page_parts(path: str, number: int, page) -> list[tuple]:
+    """PARTS rows of a page as the optional package gives it. A block that has no styled lines is taken as plain text."""
+    rows = [("page", path, number, 0, 0, 0.0, 0.0, float(page.rect.width), float(page.rect.height), None, None)]
+    plain = None
+    for i, b in enumerate(page.get_text("dict").get("blocks", [])):
+        if b.get("type", 0) != 0 or "lines" not in b:
+            continue
+        text, size = styled_block([[(s.get("text", ""), s.get("color", 0), s.get("size", 12.0)) for s in line.get("spans", []) if s.get("text")] for line in b["lines"]])
+        if not text.strip():
+            plain = plain or {tuple(map(round, p[:4])): p[4] for p in page.get_text("blocks")}
+            text = plain.get(tuple(map(round, b["bbox"])), "")
+        rows.append(("block", path, number, i, 0, *map(float, b["bbox"]), size, text))
+    for d in page.get_drawings():
+        for item in d.get("items", []):
+            if item[0] == "l":
+                rows.append(("line", path, number, 0, 0, float(item[1].x), float(item[1].y), float(item[2].x), float(item[2].y), None, None))
+            elif item[0] == "re" and item[1].height < 2:
+                rows.append(("line", path, number, 0, 0, float(item[1].x0), float(item[1].y0), float(item[1].x1), float(item[1].y1), None, None))
+    return rows
+
+
+def read_pdf_parts(spark: SparkSession, path: str) -> DataFrame:
+    """PARTS rows of PDF files. Needs the optional `pymupdf` package."""
     if find_spec("pymupdf") is None:
         raise RuntimeError("PDF files need pymupdf; give a table of blocks to quire.operators.layout instead")
 
@@ -74,25 +97,30 @@ def read_pdf_blocks(spark: SparkSession, path: str) -> DataFrame:
         import pymupdf
 
         for pdf in batches:
-            rows = []
             for name, content in zip(pdf.path, pdf.content, strict=True):
                 for number, page in enumerate(pymupdf.open(stream=bytes(content), filetype="pdf"), 1):
-                    for i, b in enumerate(page.get_text("dict").get("blocks", [])):
-                        if "lines" in b:
-                            text, size = styled_block([[(s.get("text", ""), s.get("color", 0), s.get("size", 12.0)) for s in line.get("spans", []) if s.get("text")] for line in b["lines"]])
-                            rows.append((name, number, i, 0, *b["bbox"], size, text))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
+                    yield pd.DataFrame(page_parts(name, number, page), columns=[c.split()[0] for c in PARTS.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, BLOCKS)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, PARTS)
+
+
+def pdf_tables(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, page sizes and dividers of PARTS rows, as the layout operators take them."""
+    blocks = parts.where("kind = 'block'").drop("kind")
+    pages = parts.where("kind = 'page'").select("path", "page_id", F.col("x1").alias("w"), F.col("y1").alias("h"))
+    lines = parts.where("kind = 'line'").select("path", "page_id", F.col("x0").alias("x_a"), F.col("y0").alias("y_a"), F.col("x1").alias("x_b"), F.col("y1").alias("y_b")).join(pages.select("path", "page_id", "h"), ["path", "page_id"])
+    return blocks, pages, layout.divider_lines(lines).select("path", "page_id", "lx0", "lx1", "ly")
 
 
 def page_count(blocks: DataFrame, by: str = "path") -> DataFrame:
     return blocks.groupBy(by).agg(F.max("page_id").alias("pages"))
 
 
-def read_documents(spark: SparkSession, path: str, skip: int = 0, take: int | None = None, normalize: bool = True) -> DataFrame:
-    """path, text of .txt, .md and .docx files: normalised whole, then cut to pages."""
+def read_documents(spark: SparkSession, path: str, skip: int = 0, take: int | None = None, normalize: bool = True, options: layout.Options = layout.Options()) -> DataFrame:
+    """path, text of .txt, .md, .docx and .pdf files: normalised whole, then cut to pages (of PDF files, by their own pages)."""
     suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix == "pdf":
+        return read_pdf(read_pdf_parts(spark, path), skip, take, options)
     if suffix not in ("txt", "md", "docx"):
         raise ValueError(f"no reader for {path}")
     docs = read_docx(spark, path) if suffix == "docx" else read_text(spark, path)
@@ -100,12 +128,34 @@ def read_documents(spark: SparkSession, path: str, skip: int = 0, take: int | No
     return docs.withColumn("text", slicing.slice_pages("text", skip, take)) if skip or take is not None else docs
 
 
-def read_pdf(spark: SparkSession, path: str, pages: DataFrame, skip: int = 0, take: int | None = None, options: layout.Options = layout.Options()) -> DataFrame:
-    """path, text. pages: path, page_id, w, h."""
-    blocks = read_pdf_blocks(spark, path).where(F.col("page_id") > skip)
-    blocks = blocks if take is None else blocks.where(F.col("page_id") <= skip + take)
+def read_pdf(parts: DataFrame, skip: int = 0, take: int | None = None, options: layout.Options = layout.Options()) -> DataFrame:
+    """path, text of PARTS rows: blocks in reading order, footnotes told apart by divider lines, marks and sizes."""
+    parts = parts.where(F.col("page_id") > skip)
+    blocks, pages, dividers = pdf_tables(parts if take is None else parts.where(F.col("page_id") <= skip + take))
     keys = ("path", "page_id")
-    return layout.document_text(layout.page_texts(layout.classify(blocks, pages, None, keys, options), keys), ("path",), "page_id")
+    return layout.document_text(layout.page_texts(layout.classify(blocks, pages, dividers, keys, options), keys), ("path",), "page_id")
+
+
+def whole(spark: SparkSession, path: str) -> str:
+    """One document's text, on the driver."""
+    return "\n".join(r.text for r in read_text(spark, path).toLocalIterator())
+
+
+def pages_in(spark: SparkSession, path: str) -> int:
+    """Pages of one file."""
+    if path.lower().endswith(".pdf"):
+        return page_count(read_pdf_parts(spark, path).where("kind = 'page'")).first().pages
+    return read_documents(spark, path).select(F.size(slicing.pages("text")).alias("n")).first().n
+
+
+def glossary_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """lang, domain, path of the glossaries in a folder (none if it is missing)."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*/*.json")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    rows = [(f.getPath().toString(),) for f in found]
+    inside = spark.createDataFrame(rows, "path string")
+    return inside.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.json$", 1).alias("lang"), F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("domain"), "path")
 
 
 def write_texts(docs: DataFrame, path: str, text: str = "text") -> None:
@@ -122,7 +172,7 @@ def read_glossary(spark: SparkSession, path: str, lang: str = "en", domain: str
     data = F.from_json("value", "map<string,map<string,string>>")
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(data)).alias("i", "c"))
     rows = rows.select("i", F.col("c.key").alias("category"), F.posexplode(F.map_entries("c.value")).alias("j", "t"))
-    return rows.select(F.lit(lang).alias("lang"), F.lit(domain).alias("domain"), "category", F.col("t.key").alias("arabic"), F.col("t.value").alias("target"), (F.col("i") * 1_000_000 + F.col("j")).cast("bigint").alias("seq"))
+    return rows.select(F.lit(lang).alias("lang"), F.lit(domain).alias("domain"), "category", F.col("t.key").alias("arabic"), F.col("t.value").alias("target"), (F.col("i").cast("bigint") * (1 << 32) + F.col("j")).alias("seq"))
 
 
 def glossary_files(paths: DataFrame) -> DataFrame:

@@ -274,3 +274,51 @@ def test_write_pdf(tmp_path):
     assert render.write_pdf("x", str(locked), compiler=lambda m: b"%PDF") == locked and locked.read_bytes() == b"%PDF"
     names = [p.name for _, p in zip(range(3), render.free_names(locked), strict=False)]
     assert names == ["book.pdf", "book_updated.pdf", "book_updated_2.pdf"]
+
+
+def test_pdf_parts(spark):
+    """A page as the PDF package gives it: sizes, styled blocks, a block without styled lines, and a drawn line that parts the footnotes."""
+    from types import SimpleNamespace as S
+
+    span = lambda t, c=0, size=12.0: {"text": t, "color": c, "size": size}
+    block = lambda y, spans, x0=100.0: {"type": 0, "bbox": (x0, y, 500.0, y + 40.0), "lines": [{"spans": spans}]}
+    told = {"blocks": [block(200.0, [span("نص المتن الأول "), span("عنوان", files.BLUE)]), block(300.0, [span("")]), block(800.0, [span("(١) حاشية", size=9.0)]), {"type": 1, "bbox": (0, 0, 1, 1)}]}
+    page = S(rect=S(width=600, height=1000), get_text=lambda kind: told if kind == "dict" else [(100.0, 300.0, 500.0, 340.0, "نص بلا أنماط في المتن", 1, 0)], get_drawings=lambda: [{"items": [("l", S(x=320.0, y=780.0), S(x=550.0, y=780.5)), ("re", S(x0=0, y0=0, x1=9, y1=9, height=9))]}])
+    parts = spark.createDataFrame(files.page_parts("a.pdf", 1, page), files.PARTS)
+    blocks, pages, dividers = files.pdf_tables(parts)
+    assert [(b.block_no, b.text) for b in blocks.orderBy("block_no").collect()] == [(0, "نص المتن الأول **عنوان** "), (1, "نص بلا أنماط في المتن"), (2, "(١) حاشية")]
+    assert pages.first()[2:] == (600.0, 1000.0) and dividers.select("lx0", "lx1").first() == (320.0, 550.0)
+    kinds = {b.block_no: b.kind for b in layout.classify(blocks, pages, dividers, ("path", "page_id")).collect()}
+    assert kinds == {0: "body", 1: "body", 2: "footnote"}
+    text = files.read_pdf(parts).first().text
+    assert "نص المتن الأول" in text and "حاشية" in text and files.read_pdf(parts, 1).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from quire import cli
+    from quire.sources import providers
+
+    (tmp_path / "g" / "en").mkdir(parents=True)
+    (tmp_path / "g" / "en" / "mantiq.json").write_text(json.dumps({"core_terms": {"منطق": "logic"}}), encoding="utf-8")
+    (tmp_path / "book.txt").write_text(BOOK, encoding="utf-8")
+    book, out = f"file://{tmp_path}/book.txt", f"file://{tmp_path}/out"
+    assert cli.main(["translate", book, "-o", out, "--chunk-size", "30", "--bilingual", "--keep-headers"], spark) == 0
+    assert "DRY RUN" in files.whole(spark, out)
+    assert cli.main(["glossaries", "--glossaries", f"file://{tmp_path}/g"], spark) == 0
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1]) == {"lang": "en", "domains": ["mantiq"]}
+    args = cli.parser().parse_args(["translate", book, "--glossaries", f"file://{tmp_path}/g"])
+    assert "منطق → logic" in cli.glossary_block(spark, args, cli.config(args))
+    assert cli.main(["chapters", book], spark) == 0 and "الخاتمة" in capsys.readouterr().out
+    (tmp_path / "done.md").write_text("> نص\n\nText [^2].\n\n[^2]: note")
+    manifest = f"file://{tmp_path}/p.json"
+    assert cli.main(["project", "init", manifest, "--source", book, "--adopt", f"file://{tmp_path}/done.md", "--adopt-pages", "1-3"], spark) == 0
+    assert "next page 4 of 1; slices p1-3" in capsys.readouterr().out
+    kept = project.Project.load(spark, manifest)
+    assert kept.max_footnote == 2 and kept.trailing_target
+    with pytest.raises(ValueError):
+        providers.provider("none", "m")
+    if not providers.installed("openai"):
+        with pytest.raises(RuntimeError):
+            providers.provider("openai", "m")
