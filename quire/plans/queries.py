@@ -167,8 +167,14 @@ def page_slice(spark, sf_dir):
 RANGES = [("10-25", None, None), ("10:25", None, None), ("10:", None, None), ("7-", None, None), ("9+", None, None), (":20", None, None), ("-20", None, None), ("5", None, None), ("0-5", None, None), (None, 10, 5), (None, None, None), ("25-10", None, None), ("invalid_range", None, None)]
 
 
-@query("""SELECT * FROM (VALUES ('10-25', 9, 16, FALSE, 'p10-25'), ('10:25', 9, 16, FALSE, 'p10-25'), ('10:', 9, NULL, FALSE, 'p10-end'), ('7-', 6, NULL, FALSE, 'p7-end'), ('9+', 8, NULL, FALSE, 'p9-end'),
-(':20', 0, 20, FALSE, 'p1-20'), ('-20', 0, 20, FALSE, 'p1-20'), ('5', 4, 1, FALSE, 'p5'), ('0-5', 0, 6, FALSE, 'p1-6'), (NULL, 10, 5, FALSE, 'p11-15'), (NULL, 0, NULL, FALSE, ''), ('25-10', NULL, NULL, TRUE, ''), ('invalid_range', NULL, NULL, TRUE, '')) AS v(spec, skip, take, bad, tag)""")
+TAG_SQL = "CASE WHEN take = 1 THEN 'p' || (skip + 1) WHEN take IS NOT NULL THEN 'p' || (skip + 1) || '-' || (skip + take) WHEN skip > 0 THEN 'p' || (skip + 1) || '-end' ELSE '' END"
+
+
+@query(f"""WITH v AS {values(RANGES, 'spec, s, t')},
+p AS (SELECT *, TRY_CAST(regexp_extract(spec, '^([0-9]+)', 1) AS INT) AS a, TRY_CAST(regexp_extract(spec, '[-:]([0-9]+)$', 1) AS INT) AS b, regexp_matches(spec, '^([0-9]+([-:][0-9]*|[+])?|[-:][0-9]+)$') AS good, regexp_matches(spec, '^[0-9]+$') AS single FROM v),
+q AS (SELECT *, spec IS NOT NULL AND (NOT good OR coalesce(b < a, FALSE)) AS bad FROM p),
+r AS (SELECT spec, CASE WHEN spec IS NULL THEN coalesce(s, 0) WHEN bad THEN NULL ELSE greatest(coalesce(a, 1) - 1, 0) END::INT AS skip, CASE WHEN spec IS NULL THEN t WHEN bad THEN NULL WHEN single THEN 1 ELSE b - coalesce(a, 1) + 1 END::INT AS take, bad FROM q)
+SELECT spec, skip, take, bad, {TAG_SQL} AS tag FROM r""")
 def page_ranges(spark, sf_dir):
     rows = rows_of(spark, "spec string, s int, t int", RANGES)
     skip, take, bad = slicing.page_range_columns("spec", "s", "t")
@@ -268,7 +274,9 @@ def glossary_listing(spark, sf_dir):
 GLOSSARY = [("core_terms", "منطق", "logic", 1), ("core_terms", "حد", "term", 2), ("other", "قضية", "proposition", 3)]
 
 
-@query("SELECT chr(10) || '### Core Terms' || chr(10) || '- منطق → logic' || chr(10) || '- حد → term' || chr(10) || chr(10) || '### Other' || chr(10) || '- قضية → proposition' AS block")
+@query(f"""WITH v AS {values(GLOSSARY, 'category, arabic, target, seq')},
+c AS (SELECT min(seq) AS seq, chr(10) || '### ' || array_to_string(list_transform(string_split(replace(category, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || chr(10) || string_agg('- ' || arabic || ' → ' || target, chr(10) ORDER BY seq) AS text FROM v GROUP BY category)
+SELECT string_agg(text, chr(10) ORDER BY seq) AS block FROM c""")
 def glossary_prompt(spark, sf_dir):
     return terms.prompt_glossary(rows_of(spark, "category string, arabic string, target string, seq int", GLOSSARY))
 
@@ -439,11 +447,18 @@ def reading_order(spark, sf_dir):
 
 
 NOTES = [(1, "a [^1] b [^2]\n[^1]: one\n[^2]: two\n[3]: three", 14), (2, "see [^5].\n[5]: x", 0), (3, "none", 3)]
+#: A document with references, definitions, a plain number in brackets and a reference before a colon.
+NOTED = "'[1]: ' || left(text, 20) || ' [^' || (doc_id % 9 + 1) || '] y [' || (doc_id % 4 + 1) || '] z[^12]: end' || chr(10) || '[^' || (doc_id % 9 + 1) || ']: ' || right(text, 20) || chr(10) || '[' || (doc_id % 30) || ']:'"
 
 
-@query("""SELECT * FROM (VALUES (1, 'a [^15] b [^16]' || chr(10) || '[^15]: one' || chr(10) || '[^16]: two' || chr(10) || '[^17]: three', 17), (2, 'see [^5].' || chr(10) || '[5]: x', 5), (3, 'none', 3)) AS v(id, text, highest)""")
+@query(f"""WITH v AS (SELECT doc_id, {NOTED} AS t, (doc_id % 5)::BIGINT AS o FROM documents),
+s AS (SELECT *, regexp_extract_all(t, '\\[\\^?[0-9]+\\]:?') AS ms, string_split_regex(t, '\\[\\^?[0-9]+\\]:?') AS ps, list_transform(regexp_extract_all(t, '\\[\\^?([0-9]+)\\]', 1), lambda x: x::BIGINT) AS ns FROM v),
+e AS (SELECT *, list_transform(range(1, len(ms) + 1), lambda i: CASE WHEN (ms[i] LIKE '%:' AND ((i = 1 AND ps[i] = '') OR right(ps[i], 1) = chr(10))) OR (ms[i] LIKE '[^%' AND ms[i] NOT LIKE '%:') THEN regexp_extract(ms[i], '[0-9]+')::BIGINT + o END) AS moved FROM s)
+SELECT doc_id, CASE WHEN o <= 0 THEN t ELSE array_to_string(list_transform(range(1, len(ms) + 1), lambda i: ps[i] || CASE WHEN moved[i] IS NULL THEN ms[i] ELSE '[^' || moved[i] || CASE WHEN ms[i] LIKE '%:' THEN ']:' ELSE ']' END END), '') || ps[-1] END AS text,
+CASE WHEN o <= 0 THEN coalesce(list_max(ns), 0) ELSE greatest(o, coalesce(list_max(moved), 0)) END AS highest FROM e""")
 def footnote_offset(spark, sf_dir):
-    return rows_of(spark, "id int, t string, o int", NOTES).select("id", project.offset_footnotes("t", F.col("o")).alias("r")).select("id", "r.text", F.col("r.max").alias("highest"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(NOTED.replace("chr(10)", "char(10)")).alias("t"))
+    return docs.select("doc_id", project.offset_footnotes("t", F.col("doc_id") % 5).alias("r")).select("doc_id", "r.text", F.col("r.max").alias("highest"))
 
 
 @query("SELECT * FROM (VALUES (1, 3, '', 'a [^1] b [^2] [^1]: one [^2]: two [3]: three'), (2, 5, '', 'see [^5]. [5]: x'), (3, 0, '', 'none')) AS v(id, max_footnote, trailing_source, trailing_target)")
@@ -499,7 +514,12 @@ def appended_slices(spark, sf_dir):
 PATHS = [("b/book.pdf", "da", "p10-25", True), ("book.v2.txt", "en", "", False), ("a.b/book", "sw", "p5", True)]
 
 
-@query("SELECT * FROM (VALUES ('b/book.pdf', 'b/book_p10-25_bilingual_da.md', 'b/book_p10-25_bilingual_da_audit.md', 'b/book_p10-25_bilingual_da.pdf'), ('book.v2.txt', 'book.v2_translated.md', 'book.v2_translated_audit.md', 'book.v2_translated.pdf'), ('a.b/book', 'a.b/book_p5_bilingual_sw.md', 'a.b/book_p5_bilingual_sw_audit.md', 'a.b/book_p5_bilingual_sw.pdf')) AS v(path, output, audit, pdf)")
+STEM_SQL = r"regexp_replace({}, '([^/])\.[^./]*$', '\1')"
+
+
+@query(f"""WITH v AS {values(PATHS, 'path, lang, tag, both_langs')},
+o AS (SELECT path, {STEM_SQL.format('path')} || CASE WHEN tag <> '' THEN '_' || tag ELSE '' END || CASE WHEN both_langs THEN '_bilingual' ELSE '_translated' END || CASE WHEN lower(lang) <> 'en' THEN '_' || lower(lang) ELSE '' END || '.md' AS output FROM v)
+SELECT path, output, {STEM_SQL.format('output')} || '_audit.md' AS audit, {STEM_SQL.format('output')} || '.pdf' AS pdf FROM o""")
 def output_names(spark, sf_dir):
     rows = rows_of(spark, "path string, lang string, tag string, both boolean", PATHS).select("path", T.output_path("path", "lang", "tag", F.col("both")).alias("output"))
     return rows.select("path", "output", T.audit_path("output").alias("audit"), T.pdf_path("output").alias("pdf"))
@@ -508,7 +528,8 @@ def output_names(spark, sf_dir):
 NAMES = [("en", "A4"), (" DA ", "letter"), ("xx", "b5"), ("portuguese", "unknown")]
 
 
-@query("SELECT * FROM (VALUES ('en', 'English', 'a4'), (' DA ', 'Danish', 'us-letter'), ('xx', 'Xx', 'iso-b5'), ('portuguese', 'Portuguese', 'iso-b5')) AS v(lang, name, paper)")
+@query(f"""WITH v AS {values(NAMES, 'lang, paper')}, l AS {values(list(T.LANGUAGES.items()), 'code, name')}, p AS {values(list(T.PAPER.items()), 'other, size')}
+SELECT lang, coalesce(name, upper(substr(lang, 1, 1)) || lower(substr(lang, 2))) AS name, coalesce(size, 'iso-b5') AS paper FROM v LEFT JOIN l ON code = lower(trim(lang)) LEFT JOIN p ON other = lower(trim(paper))""")
 def display_names(spark, sf_dir):
     return rows_of(spark, "lang string, p string", NAMES).select("lang", T.language_name("lang").alias("name"), T.paper_size("p").alias("paper"))
 
