@@ -69,18 +69,25 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def drop_table(*tables: DataFrame) -> None:
     """Delete shared tables whose last reader has been written."""
-    for path in (t.quire_path for t in tables):
-        spark = next(s for s, p in _tables if p == path)
-        _tables.remove((spark, path))
-        delete(spark, path)
+    drop_paths([t.quire_path for t in tables])
+
+
+def drop_paths(paths: list[str]) -> None:
+    """Delete folders of new_path(). The driver's collector then lets go of their writers' shuffles, whose files executors would keep until it runs by itself."""
+    gone = [t for t in _tables if t[1] in paths]
+    for t in gone:
+        _tables.remove(t)
+        delete(*t)
+    if gone:
+        gone[-1][0].sparkContext._jvm.System.gc()
 
 
 @contextmanager
-def tables():
-    """The shared tables written within are deleted at the end, unless kept by then."""
-    before = len(_tables)
-    yield
-    drop_tables(before)
+def noting():
+    """A list that holds, at the end, the folders of new_path() that were made within and are still there."""
+    before, made = {p for _, p in _tables}, []
+    yield made
+    made += [p for _, p in _tables if p not in before]
 
 
 def drop_tables(keep: int = 0) -> None:

@@ -22,4 +22,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        pairs = common.shared_table(small.where("a != b").distinct(), "links")
+        pairs, old = common.shared_table(small.where("a != b").distinct(), "links"), pairs
+        common.drop_table(old)

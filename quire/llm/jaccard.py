@@ -9,16 +9,21 @@ differ, and the Hamming distance of a bit sketch in which each shingle flips one
 Pigeonhole. If A has more non-empty blocks than |A ^ B| may be, one of them is the same in B. So sets meet in (band, block, XOR) keys. Sets of the next band that may be partners
 also send the keys of this band. Sets under `SMALL` shingles use as many blocks as there are hashes: each shingle is a key.
 
-Hot keys. Common lines make keys that thousands of unrelated sets share. A pair shares at least tau = blocks(A) - floor((1 - t) / t * |A|) of A's keys; if fewer than tau of them are hot, it
-also shares a cold one, and A's hot keys need no search. Only sets whose keys are nearly all hot (large groups of near copies) search them.
+Eligible sets. A linked pair shares at least tau of each set's keys of the band they meet in, so a set with fewer than tau shared keys has no partner and goes at once: most texts share a few common phrases only.
 
-Large groups. Every key first links its sets with its least one (pairs in proportion to rows). Those links, verified, give components; keys within one component are done, and only
-pairs across components are looked at, filtered by size and Hamming distance within the join; within a hot key, only pairs with a set outside the key's largest component. Equal sets are one node from the start.
+Hot keys. Common lines make keys that thousands of unrelated sets share. If fewer than tau of the smaller set's keys are hot, a pair also shares a cold one, and the hot ones need no search. Sets whose keys are nearly
+all hot (large groups of near copies, short texts with a long common header) are searched by a second pigeonhole: with any order of all shingles, the first n / 7 + 1 shingles of the smaller set and the first n / 4 + 1 of
+the larger have one in common. Frequent shingles, by a table of counts of a fixed size, come last in that order, so what many sets share is a key only where it is nearly all of a set, which is where sets link.
+
+Large groups. Every key first links its sets with its least one (pairs in proportion to rows). Those links, verified, give components; keys within one component are done. In a few rounds more each set meets one set of
+another component for each key, and then only pairs across the components that are left are looked at, filtered by size and Hamming distance within the join. Equal sets are one node from the start.
 
 Every reported link is verified on the whole shingle sets (64-bit hashes). A result's class is its connected component.
 
-Edge cases: null or empty texts, or without words: no shingles, linked with nothing, component_id is the own id; rows with a null id get their count and a null component; repeated rows
-(and copies) share a component; an empty table gives no rows; other columns are ignored.
+A row is known by its id and a hash of its text, so different texts under one id are different rows.
+
+Edge cases: null or empty texts, or without words: no shingles, linked with nothing, component_id is the own id; rows with a null id get their count and a null component; repeated rows (and copies) share a component;
+rows of one id with different texts are classed one by one; very long texts are whole sets, in bands of their own size; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +45,19 @@ SMALL = 64
 #: Sets that share a key from which it is hot.
 HOT = 64
 SKETCH_BITS = 1024
+#: Rounds in which sets meet one set of another component for each key.
+TURNS = 2
+#: Counters (a power of two) by which frequent shingles are told in the second pigeonhole, and how many times the mean makes one frequent.
+COUNTERS, FREQUENT = 1 << 20, 8
 #: Keys for a bucket, about: it is sorted by one task at once.
 BUCKET_KEYS = 1_200_000
 
 
-def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles' hashes of each text, ascending, and where each text's begin."""
     words, ends = common.split_words(texts)
     hashed = common.hash_strings(words)
+    hashed = common.mix(hashed + np.uint64(seed)) if seed else hashed
     runs = common.window_hashes(hashed, width)
     out, cuts = [], [0]
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -121,31 +131,35 @@ def distance(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, node, blocks (non-empty ones in its own band), sketch (array of longs)."""
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp (a hash of the text as it is), text."""
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("fp"), F.col(f"`{text_col}`").alias("text"))
+
+
+def set_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """doc_id, fp, n_shingles, node, blocks and lower (keys in its own band and the one below), sketch (array of longs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = SKETCH_BITS // 64
         for batch in common.text_slices(batches, "text"):
-            hashes, cuts = shingle_sets(batch.column("text"), width)
-            size, blocks, bits = np.diff(cuts), [], []
+            hashes, cuts = shingle_sets(batch.column("text"), width, seed)
+            size, sent, bits = np.diff(cuts), [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                blocks.append(len(block_keys(hashes[a:b], band_of(b - a))) if b > a else 0)
+                sent.append([len(block_keys(hashes[a:b], band)) for band, _ in bands(b - a)] if b > a else [0])
                 bits.append(np.frombuffer(sketch(hashes[a:b]), np.int64))
-                if b > a and blocks[-1] <= slack(b - a):
-                    raise RuntimeError(f"a set of {b - a} shingles has {blocks[-1]} blocks; raise blocks_in()")
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) * longs + 1, longs), pa.int32()), pa.array(np.concatenate(bits)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), common.longs(size), common.longs(nodes_of(hashes, cuts)), common.longs(np.array(blocks)), flat], names=["doc_id", "n_shingles", "node", "blocks", "sketch"])
+            blocks, lower = (common.longs(np.array([x[i] if len(x) > i else 0 for x in sent])) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), common.longs(size), common.longs(nodes_of(hashes, cuts)), blocks, lower, flat], names=["doc_id", "fp", "n_shingles", "node", "blocks", "lower", "sketch"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id bigint, n_shingles bigint, node bigint, blocks bigint, sketch array<bigint>")
+    return docs.mapInArrow(rows, "doc_id bigint, fp bigint, n_shingles bigint, node bigint, blocks bigint, lower bigint, sketch array<bigint>")
 
 
-def key_rows(docs: DataFrame, id_col: str, text_col: str, width: int, buckets: int) -> DataFrame:
+def key_rows(docs: DataFrame, width: int, seed: int, buckets: int) -> DataFrame:
     """Keys of all sets, dealt into buckets: (bucket, keys: u32 each, and runs of keys of one set and band: nodes, and runs: u32 length with the high bit for the set's own band)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "text"):
-            hashes, cuts = shingle_sets(batch.column("text"), width)
+            hashes, cuts = shingle_sets(batch.column("text"), width, seed)
             nodes = nodes_of(hashes, cuts)
             keys, owners, seen = [], [], set()
             has_id = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -174,11 +188,28 @@ def key_rows(docs: DataFrame, id_col: str, text_col: str, width: int, buckets: i
                 out[3].append(nodes[own[start] & np.uint16(0x7FFF)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "keys", "runs", "nodes"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "bucket int, keys binary, runs binary, nodes binary")
+    return docs.mapInArrow(rows, "bucket int, keys binary, runs binary, nodes binary")
+
+
+SHARED = "key bigint, node bigint, own boolean, sets int, least bigint"
+
+
+def shared_of(key: np.ndarray, node: np.ndarray, own: np.ndarray) -> pa.Table:
+    """SHARED rows of the keys that several sets have: the sets that share a key, and the least of them."""
+    order = np.lexsort((node, key))
+    k, n, o = key[order], node[order], own[order]
+    at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])]))  # the same set from several batches
+    o = np.maximum.reduceat(o, at) if len(at) else o
+    k, n = k[at], n[at]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.append(first, len(k)))
+    group, least = np.repeat(size, size), np.repeat(n[first], size)
+    on = group > 1
+    return pa.table({"key": pa.array(k[on]), "node": pa.array(n[on]), "own": pa.array(o[on].astype(bool)), "sets": pa.array(group[on].astype(np.int32)), "least": pa.array(least[on])})
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """Of each key that several sets have: (key, node, own, sets that share it, the least of them)."""
+    """SHARED rows of dealt keys."""
 
     def bucket(table: pa.Table) -> pa.Table:
         number = table.column("bucket")[0].as_py()
@@ -188,36 +219,44 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             key.append(np.frombuffer(k, np.uint32))
             node.append(np.repeat(n, r & np.uint32(0x7FFFFFFF)))
             own.append(np.repeat((r >> np.uint32(31)).astype(np.uint8), r & np.uint32(0x7FFFFFFF)))
-        k, n, o = np.concatenate(key), np.concatenate(node).view(np.int64), np.concatenate(own)
-        order = np.lexsort((n, k))
-        k, n, o = k[order], n[order], o[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])  # the same set from several batches
-        at = np.flatnonzero(new)
-        own = np.maximum.reduceat(o, at) if len(at) else o
-        k, n = k[at], n[at]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.append(first, len(k)))
-        group = np.repeat(size, size)
-        least = np.repeat(n[first], size)
-        on = group > 1
-        return pa.table({"key": pa.array((np.int64(number) << np.int64(32) | k.astype(np.int64))[on]), "node": pa.array(n[on]), "own": pa.array(own[on].astype(bool)), "sets": pa.array(group[on]), "least": pa.array(least[on])})
-
-    return keys.groupBy("bucket").applyInArrow(bucket, "key bigint, node bigint, own boolean, sets bigint, least bigint")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Of pairs (a, b) of document ids, those that link; both sets are made again from the whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-
-    def sets(batches):
+        found = np.concatenate(key).astype(np.int64) | np.int64(number) << np.int64(32)
+        return shared_of(found, np.concatenate(node).view(np.int64), np.concatenate(own))
+
+    return keys.groupBy("bucket").applyInArrow(bucket, SHARED)
+
+
+def shared_again(rows: DataFrame) -> DataFrame:
+    """SHARED rows, counted anew."""
+
+    def bucket(table: pa.Table) -> pa.Table:
+        return shared_of(*(table.column(c).to_numpy() for c in ("key", "node")), table.column("own").to_numpy().astype(np.uint8))
+
+    return rows.groupBy(F.shiftright("key", 32)).applyInArrow(bucket, SHARED)
+
+
+def eligible(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, own: sets with tau shared keys at least in the band."""
+    counts = shared.groupBy("node", "own").agg(F.count("*").alias("c"))
+    n = F.col("n")
+    least = F.ceil(n * NUM / DEN)  # where each shingle is a key
+    own = F.when(n < SMALL, least).otherwise(F.col("blocks") - F.floor(n * (DEN - NUM) / NUM))
+    lower = F.when(F.ceil(n * NUM / DEN) < SMALL, least).otherwise(F.col("lower") - F.floor(2 * n * (DEN - NUM) / (DEN + NUM)))
+    return counts.join(sets.select("node", "n", "blocks", "lower"), "node").where(F.col("c") >= F.when(F.col("own"), own).otherwise(lower)).select("node", "own")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """Of pairs (a, b) of nodes, those that link; both sets are made again from the whole texts of the nodes' first rows."""
+    wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"), "fp", "node")
+
+    def made(batches):
         for batch in common.text_slices(batches, "text"):
-            hashes, cuts = shingle_sets(batch.column("text"), width)
+            hashes, cuts = shingle_sets(batch.column("text"), width, seed)
             own = [hashes[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("want"), common.longs(np.diff(cuts)), pa.array([sketch(x, long_bits(len(x))) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["want", "n", "bits", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), common.longs(np.diff(cuts)), pa.array([sketch(x, long_bits(len(x))) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["want", "n", "bits", "hashes"])
 
     wanted = common.few(wanted, common.BROADCAST_IDS)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("want"), F.col(text_col).alias("text")).join(wanted, "want")
-    found = common.shared_table(texts.mapInArrow(sets, "want bigint, n bigint, bits binary, hashes binary"), "sets")
+    texts = docs.join(wanted, ["doc_id", "fp"]).select("node", "text")
+    found = common.shared_table(texts.mapInArrow(made, "want bigint, n bigint, bits binary, hashes binary").dropDuplicates(["want"]), "sets")
 
     def tested(pairs: DataFrame, columns: list[str], holds) -> DataFrame:
         """Pairs for which holds(x's columns, y's columns)."""
@@ -230,7 +269,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
 
         side = lambda own, s: found.select(F.col("want").alias(own), *[F.col(c).alias(f"{s}_{c}") for c in columns])
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", *[f"{s}_{c}" for s in "xy" for c in columns])
-        return both.mapInArrow(test, "a bigint, b bigint").distinct()
+        return both.mapInArrow(test, "a bigint, b bigint")
 
     def near(x, y):
         return (DEN + NUM) * distance(x[1], y[1]) <= (DEN - NUM) * (x[0] + y[0])
@@ -240,7 +279,60 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
         return DEN * n >= NUM * (len(x[0]) + len(y[0]) - n)
 
     left = common.shared_table(tested(pairs, ["n", "bits"], near), "near")
-    return common.shared_table(tested(left, ["hashes"], links), "verified")
+    out = common.shared_table(tested(left, ["hashes"], links), "verified")
+    common.drop_table(found, left)
+    return out
+
+
+def spanning(rows: DataFrame) -> DataFrame:
+    """Rows of the keys that still span components and are cold, or searched by a set that needs its hot keys. rows: key, node, sets, component, searches."""
+    keys = rows.groupBy("key").agg(F.max("sets").alias("most"), F.bool_or("searches").alias("searched"), (F.min("component") != F.max("component")).alias("spans"))
+    return rows.join(keys.where(f"spans and (most <= {HOT} or searched)").select("key"), "key")
+
+
+def hot_pairs(nodes: DataFrame, sets: DataFrame, docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """(a, b) of nodes whose first shingles have one in common: all pairs that link among nodes (node, component) of different components, and few others."""
+    wanted = common.few(sets.join(nodes, "node").select(F.col("rep").alias("doc_id"), "fp", "node"), common.BROADCAST_IDS)
+    texts = docs.join(wanted, ["doc_id", "fp"]).select("node", "text")
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in common.text_slices(batches, "text"):
+            total += np.bincount((shingle_sets(batch.column("text"), width, seed)[0] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], names=["counter", "n"])
+
+    counts = common.shared_table(texts.mapInArrow(count, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")), "counters")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / COUNTERS
+    frequent = np.zeros(COUNTERS, bool)
+    for r in counts.where(F.col("n") > max(HOT, FREQUENT * mean)).select("counter").toLocalIterator():  # COUNTERS rows at most
+        frequent[r.counter] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent).tobytes())
+
+    def firsts(batches):
+        last = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        for batch in common.text_slices(batches, "text"):
+            hashes, cuts = shingle_sets(batch.column("text"), width, seed)
+            often = last[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            key, node, small = [], [], []
+            for name, a, b in zip(batch.column("node").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                n = b - a
+                probe = np.lexsort((hashes[a:b], often[a:b]))[: n // DEN + 1]  # n - ceil(3 n / 4) + 1 of the larger set
+                key.append(hashes[a:b][probe])
+                node.append(np.full(len(probe), name, np.int64))
+                small.append(np.arange(len(probe)) < n * (DEN - NUM) // (DEN + NUM) + 1)  # n - ceil(6 n / 7) + 1 of the smaller
+            yield pa.RecordBatch.from_arrays([common.longs(np.concatenate(key)), pa.array(np.concatenate(node)), pa.array(np.concatenate(small))], names=["key", "node", "small"])
+
+    keyed = common.shared_table(texts.mapInArrow(firsts, "key bigint, node bigint, small boolean").dropDuplicates(["key", "node"]), "firsts")
+    # a key of one component only is done
+    spans = keyed.join(nodes, "node").groupBy("key").agg((F.min("component") != F.max("component")).alias("spans")).where("spans").select("key")
+    keyed = keyed.join(spans, "key").join(sets.select("node", F.struct("n", "sketch").alias("x")), "node").join(nodes, "node")
+    keyed = common.shared_table(keyed.select("key", "node", "small", "component", "x"), "spanning")
+    p = keyed.where("small").select("key", F.col("node").alias("a"), F.col("component").alias("c"), F.col("x").alias("p"))
+    q = keyed.select(F.col("key").alias("k"), F.col("node").alias("b"), "component", F.col("x").alias("q"))
+    fit = p.join(q, (F.col("key") == F.col("k")) & F.expr(f"c != component and p.n <= q.n and {may_link('p', 'q')}"))
+    return fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def may_link(a: str, b: str) -> str:
@@ -249,57 +341,90 @@ def may_link(a: str, b: str) -> str:
     return f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n) and {DEN + NUM} * ({near}) <= {DEN - NUM} * ({a}.n + {b}.n)"
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id) of every row, and the verified links (a, b) between representatives of different sets."""
-    rows = common.shared_table(set_rows(docs, id_col, text_col, width), "rows")
+def grouped(docs: DataFrame, width: int = WIDTH, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs: doc_id, fp, text. (doc_id, fp, n_shingles, node) of every row; (node, rep, component) of every set, component being the least node; the verified links (a, b) between nodes."""
+    seed = 0
+    while True:
+        rows = common.shared_table(set_rows(docs, width, seed), "rows")
+        if not rows.where(f"n_shingles >= {SMALL} and blocks <= floor(n_shingles * {DEN - NUM} / {NUM})").limit(1).count():
+            break
+        common.drop_table(rows)  # a set whose shingles fall into too few blocks for the pigeonhole: other hashes
+        seed += 1
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    keys = key_rows(docs, id_col, text_col, width, max(1, int(total * 0.8) // bucket_keys))
-    shared = common.shared_table(shared_keys(keys), "shared")
-    sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(d) for c, d in (("n_shingles", "n"), ("blocks", "blocks"), ("sketch", "sketch"))])
-    sets = common.shared_table(sets, "sets_of")
-    known = common.shared_table(sets.join(shared.select("node").distinct(), "node", "left_semi"), "known")
-    side = lambda x: known.select(F.col("node").alias(f"{x}_node"), F.struct("n", "rep", "sketch").alias(x))
-    pairs = shared.where("node != least").select(F.col("node").alias("p_node"), F.col("least").alias("q_node")).distinct()
-    pairs = pairs.join(side("p"), "p_node").join(side("q"), "q_node").where(may_link("p", "q")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
-    links = verified(common.shared_table(pairs, "candidates"), docs, id_col, text_col, width)
+    keys = key_rows(docs, width, seed, max(1, int(total * 0.8) // bucket_keys))
+    every = common.shared_table(shared_keys(keys), "shared")
+    sets = rows.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("first"), *[F.first(c).alias(d) for c, d in (("n_shingles", "n"), ("blocks", "blocks"), ("lower", "lower"), ("sketch", "sketch"))])
+    sets = common.shared_table(sets.select("node", F.col("first.doc_id").alias("rep"), F.col("first.fp").alias("fp"), "n", "blocks", "lower", "sketch"), "sets_of")
+    stay = common.few(eligible(every, sets), common.BROADCAST_IDS)
+    shared = common.shared_table(shared_again(every.join(stay, ["node", "own"]).select("key", "node", "own")), "kept")
+    common.drop_table(every)
+    known = common.shared_table(sets.join(stay.select("node").distinct(), "node", "left_semi"), "known")
+    side = lambda x: known.select(F.col("node").alias(x), F.struct("n", "sketch").alias(f"{x}_x"))
+    pairs = shared.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    pairs = common.shared_table(pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("a_x", "b_x")).select("a", "b"), "candidates")
+    links = verified(pairs, known, docs, width, seed)
+    common.drop_table(pairs)
     found = connected_components(links)
-    # keys that still span components and are cold, or searched by a set that needs its hot keys
-    label = known.select("node", "rep", "n", "blocks").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    label = known.select("node", "n", "blocks").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     hot = shared.where(f"own and sets > {HOT}").groupBy("node").agg(F.count("*").alias("hot"))
-    need = F.coalesce("hot", F.lit(0)) >= F.col("blocks") - F.floor(F.col("n") * (DEN - NUM) / NUM)
-    label = common.shared_table(label.join(hot, "node", "left").select("node", "component", need.alias("searches")), "labels")
-    rest = shared.select("key", "node", "sets").join(label, "node")
-    rest = common.shared_table(rest, "labelled")
-    each = rest.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("sets").alias("sets"), F.bool_or("searches").alias("searched"))
-    spans = each.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("sets").alias("sets"), F.bool_or("searched").alias("searched"))
-    spans = spans.where(f"components > 1 and (sets <= {HOT} or searched)").select("key", "main")
-    rest = rest.join(spans, "key").join(known.select("node", F.struct("n", "rep", "sketch").alias("x")), "node")
-    rest = common.shared_table(rest.select("key", "component", "searches", (F.col("component") == F.col("main")).alias("in_main"), (F.col("sets") > HOT).alias("hot"), "x"), "open")
-
-    def across(p: DataFrame, q: DataFrame) -> DataFrame:
-        p = p.select(F.col("key").alias("k"), F.col("component").alias("c"), F.col("x").alias("p"))
-        q = q.select("key", "component", F.col("x").alias("q"))
-        found = p.join(q, (F.col("k") == F.col("key")) & F.expr(f"c != component and {may_link('p', 'q')}"))
-        return found.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
-
-    # of two sets in different components of a hot key, one is outside its main component: either that one searches, or the other does
-    more = across(rest.where("not hot or (searches and not in_main)"), rest).unionByName(across(rest.where("hot and searches and in_main"), rest.where("hot and not searches and not in_main")))
+    tau = F.when(F.col("n") < SMALL, F.col("n") - F.floor(F.col("n") * (DEN - NUM) / (DEN + NUM))).otherwise(F.col("blocks") - F.floor(F.col("n") * (DEN - NUM) / NUM))
+    label = common.shared_table(label.join(hot, "node", "left").select("node", "component", (F.coalesce("hot", F.lit(0)) >= tau).alias("searches")), "labels")
+    rest = common.shared_table(spanning(shared.select("key", "node", "sets").join(label, "node")), "labelled")
+    common.drop_table(shared, label)
+    # some rounds in which each set meets one set of another component for each key, whatever it is: what many sets would link with a component is one pair then
+    for turn in range(TURNS):
+        pivot = rest.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
+        pairs = rest.join(pivot, "key").where("component != pivot.component").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        pairs = common.shared_table(pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("a_x", "b_x")).select("a", "b"), "candidates")
+        if not pairs.limit(1).count():
+            break
+        links = links.unionByName(verified(pairs, known, docs, width, seed))
+        found, old = connected_components(links), rest
+        again = rest.drop("component").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = common.shared_table(spanning(again.select("key", "node", "sets", "component", "searches")), "labelled")
+        common.drop_table(old, pairs)
+    spans = rest.groupBy("key").agg(F.max("sets").alias("sets"), F.bool_or("searches").alias("searched"))
+    cold = rest.join(spans.where(f"sets <= {HOT}").select("key"), "key").join(known.select("node", F.struct("n", "sketch").alias("x")), "node")
+    cold = common.shared_table(cold.select("key", "node", "component", "x"), "open")
+    p = cold.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("component").alias("c"), F.col("x").alias("p"))
+    q = cold.select("key", F.col("node").alias("b"), "component", F.col("x").alias("q"))
+    more = p.join(q, (F.col("k") == F.col("key")) & F.expr(f"a < b and c != component and {may_link('p', 'q')}")).select("a", "b").distinct()
+    searched = common.shared_table(rest.join(spans.where(f"sets > {HOT} and searched").select("key"), "key").select("node", "component").distinct(), "searched")
+    if searched.limit(1).count():
+        more = more.unionByName(hot_pairs(searched, known, docs, width, seed))
     more = common.shared_table(more.distinct(), "more")
-    links = links.unionByName(verified(more, docs, id_col, text_col, width))
+    common.drop_table(rest, cold)
+    links = links.unionByName(verified(more, known, docs, width, seed))
     found = connected_components(links)
-    of = sets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    linked = rows.where("doc_id is not null and n_shingles > 0").join(of, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    of = sets.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    return rows.select("doc_id", "fp", "n_shingles", "node"), of, links
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, component_id) of every row, and the verified links (a, b) between representatives of different sets."""
+    rows, of, links = grouped(rows_of(docs, id_col, text_col), width, bucket_keys)
+    least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = rows.where("doc_id is not null and n_shingles > 0").join(of.join(least, "component").select("node", "component_id"), "node").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone), links
+    rep = lambda x: of.select(F.col("node").alias(x), F.col("rep").alias(f"{x}_rep"))
+    named = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    return linked.unionByName(alone), named
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, unchanged, but of each class only the one with the least id (of repeated rows, one)."""
-    found, _ = classes(docs, id_col, text_col, **options)
-    drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(common.few(drop.select(F.col("doc_id").alias("__drop")), common.BROADCAST_IDS), F.col(f"`{id_col}`").cast("bigint") == F.col("__drop"), "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
+    """The documents, unchanged, but of each class only one: the first by id, then by the text's hash. Rows are told apart by id and text, so rows that share an id only are not dropped for it;
+    of rows equal in both one stays. Rows without an id or without words link with nothing and all stay."""
+    rows, of, _ = grouped(rows_of(docs, id_col, text_col), **options)
+    rows = rows.where("doc_id is not null and n_shingles > 0").join(of.select("node", "component"), "node").select("doc_id", "fp", "component")
+    rows = common.shared_table(rows, "classed")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
+    drop = rows.join(first, "component").where(F.struct("doc_id", "fp") != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
+    key, fp = F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"`{text_col}`"))
+    same = lambda other: (key == other["__id"]) & (fp == other["__fp"])
+    drop = common.few(drop, common.BROADCAST_IDS)
+    out = docs.join(drop, same(drop), "left_anti")
+    twice = common.shared_table(rows.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.count("*").alias("n")).where("n > 1").select("__id", "__fp"), "twice")
     if twice.limit(1).count():
-        again = out.join(twice, F.col(f"`{id_col}`").cast("bigint") == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-        out = out.join(twice, F.col(f"`{id_col}`").cast("bigint") == F.col("__twice"), "left_anti").unionByName(again)
+        again = out.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col])
+        out = out.join(twice, same(twice), "left_anti").unionByName(again)
     return out
