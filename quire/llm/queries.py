@@ -98,7 +98,38 @@ f AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words):
       + 64 * (100 * n_capitals > 40 * word_chars)::INT AS failed FROM m)
 """
 
+#: (kind, RE2 pattern, group before the span, group that is measured, its least length), each pattern by itself: the rules' look-behinds are a group that is left out of the span.
+_SECRETS = (
+    ("assign", r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\x20*[:=]\x20*[\"'']?)([A-Za-z0-9+/_.=-]+)", 0, 2, 6),
+    ("access", r"()(AKIA[A-Z0-9]{16,})", 1, 2, 20),
+    ("hex", r"()([0-9a-f]{24,})", 1, 2, 24),
+    ("upper_hex", r"()([0-9]+[A-F][0-9A-F]*|[A-F]+[0-9][0-9A-F]*)", 1, 2, 32),
+    ("private_key", r"()(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", 1, 2, 1),
+    ("jwt", r"(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 2, 1),
+    ("url_login", r"()([a-z0-9+.-]+://[^ \t-\r/:@]+:[^ \t-\r/@]{4,}@)", 1, 2, 1),
+)
+
+
+def _secrets_sql() -> str:
+    """Spans from the lengths of what a pattern matches and what lies between."""
+    parts = ["t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents)"]
+    for n, (kind, pattern, lead, group, least) in enumerate(_SECRETS):
+        parts.append(
+            f"""m{n} AS (SELECT k, unnest(range(1, len(ms) + 1)) AS i, ms, ls, vs, ps FROM (SELECT k, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {lead}) AS ls,
+regexp_extract_all(text, '{pattern}', {group}) AS vs, string_split_regex(text, '{pattern}') AS ps FROM t WHERE regexp_matches(text, '{pattern}'))),
+s{n} AS (SELECT k, {n} AS number, '{kind}' AS kind, length(ms[i]) AS size, {f'length(ls[i])' if lead else 0} AS lead, length(vs[i]) AS measured,
+sum(length(ps[i]) + CASE WHEN i > 1 THEN length(ms[i - 1]) ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS begins FROM m{n}),
+f{n} AS (SELECT k, number, kind, (begins + lead)::BIGINT AS b, (begins + size)::BIGINT AS e FROM s{n} WHERE measured >= {least})"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM f{n}" for n in range(len(_SECRETS)))
+    text = "string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, number)"
+    return f"""WITH {', '.join(parts)}, f AS ({every}),
+g AS (SELECT k, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex, {text} FILTER (number < 3) AS base, {text} AS spans FROM f GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (k)"""
+
+
 ORACLES = {
+    "op7_secret_ledger": _secrets_sql(),
     "op3_quality_ledger": f"WITH {_MEASURES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 127 = 0 AS kept FROM f",
     "ledger_ablation": f"""WITH {_MEASURES},
 p AS (SELECT * FROM (VALUES ('base', 1, 3), ('default', 1, 63), ('default', 2, 127)) AS x(policy, version, mask)),
