@@ -6,12 +6,13 @@ laid on the document at the hit's offset, without gaps, and of its runs with at
 
 Words: runs of letters, digits and marks, in lower case. A pair is reported if the run's equal words are at least `min_words` (or 0.7 of a shorter item).
 
-Edge cases: null and empty texts hold no words; items without words match nothing; items shorter than the masks are sought as whole word runs; repeated rows are reported
+Edge cases: null and empty texts hold no words; very long texts are searched whole, in slices of their own; items without words match nothing; items shorter than the masks are sought as whole word runs; repeated rows are reported
 one by one; an empty table on either side gives no rows; other columns are ignored (find) or passed through (clean).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +111,17 @@ class Block:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
+_ready: dict[str, Block] = {}
+
+
+def ready(name: str, make) -> Block:
+    """The block of this name, made once by a worker, which keeps the last one only."""
+    if name not in _ready:
+        _ready.clear()
+        _ready[name] = make()
+    return _ready[name]
+
+
 def matches(block: Block, words: np.ndarray, ends: np.ndarray, min_words: int, min_identity: float) -> list[tuple]:
     """(text, item, doc_start, doc_end, item_start, item_end, n_equal, n_words); of overlapping runs of one item in one text, the best."""
     best: dict[tuple[int, int], list[tuple]] = {}
@@ -173,9 +185,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     for ids, words, ends in blocks_of(benchmark, item_col, item_text, block_words):
         sent = docs.sparkSession.sparkContext.broadcast((ids, words, ends))
 
-        def search(batches, sent=sent):
-            ids, words, ends = sent.value
-            block = Block(ids, words, ends, masks)
+        def search(batches, sent=sent, name=uuid.uuid4().hex):
+            block = ready(name, lambda: Block(*sent.value, masks))
+            ids = block.ids
             for batch in common.text_slices(batches, "text"):
                 got = matches(block, *normal_words(batch.column("text")), min_words, min_identity)
                 if got:
@@ -192,8 +204,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", masks:
     for ids, words, ends in blocks_of(benchmark, item_col, item_text, block_words):
         sent = docs.sparkSession.sparkContext.broadcast((ids, words, ends))
 
-        def without(batches, sent=sent):
-            block = Block(*sent.value, masks)
+        def without(batches, sent=sent, name=uuid.uuid4().hex):
+            block = ready(name, lambda: Block(*sent.value, masks))
             for batch in common.text_slices(batches, text_col):
                 bad = {t for t, *_ in matches(block, *normal_words(batch.column(text_col)), min_words, min_identity)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
