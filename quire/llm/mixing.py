@@ -7,7 +7,7 @@ is shared again by weight. A source's mix is its whole number of complete epochs
 The order is never made of a whole source. Keys fall into `buckets` by 1 - exp(-key); word counts of the buckets, summed up, show which one holds the cut;
 buckets before it are taken whole, later ones left, and only that bucket's documents are sorted.
 
-Edge cases: null and empty texts have size 0 and are never needed (taken 0); null ids have one fixed key; repeated rows count one by one; a source without words has
+Edge cases: a very long text counts with all its words, and goes in if the cut is past its middle; null and empty texts have size 0 and are never needed (taken 0); null ids have one fixed key; repeated rows count one by one; a source without words has
 target 0; rows equal in id and key are decided together; an empty table gives no rows. Other columns are ignored (mix) or passed through (sample).
 """
 

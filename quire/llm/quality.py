@@ -3,7 +3,7 @@
 Every rule is evaluated once: the ledger has a document's measurements and one bit for each rule that it fails. Policies are versioned masks over those bits;
 applying one, or asking what a rule does within it, needs no text any more.
 
-Edge cases: null and empty texts have no words (all counts 0) and fail `few_words`; an empty table gives no rows; repeated rows are judged one by one;
+Edge cases: very long texts are measured whole (windows by sorted hashes, so in time n log n); null and empty texts have no words (all counts 0) and fail `few_words`; an empty table gives no rows; repeated rows are judged one by one;
 other columns, whatever their names, are ignored (ledger) or passed through (keep).
 """
 
