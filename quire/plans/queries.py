@@ -399,48 +399,57 @@ def ordered_run(spark, sf_dir):
 
 # layout
 
-BLOCKS = [
-    (1, 1, 0, 100.0, 20.0, 500.0, 60.0, None, "Running head"),
-    (1, 2, 0, 100.0, 150.0, 500.0, 200.0, None, "First paragraph of the body."),
-    (1, 3, 0, 100.0, 300.0, 500.0, 400.0, None, "Second paragraph of the body."),
-    (1, 4, 0, 100.0, 800.0, 500.0, 850.0, None, "(١) a footnote"),
-    (1, 5, 0, 290.0, 950.0, 310.0, 970.0, None, "١٢"),
-    (2, 1, 0, 320.0, 150.0, 560.0, 300.0, None, "right one"),
-    (2, 2, 0, 320.0, 310.0, 560.0, 600.0, None, "right two"),
-    (2, 3, 0, 40.0, 150.0, 280.0, 300.0, None, "left one"),
-    (2, 4, 0, 40.0, 310.0, 280.0, 600.0, None, "left two"),
-    (2, 5, 0, 320.0, 720.0, 560.0, 760.0, None, "right note"),
-    (2, 6, 0, 40.0, 820.0, 280.0, 860.0, None, "left note"),
-    (2, 7, 1, 40.0, 820.0, 280.0, 860.0, None, "image"),
-]
-PAGES = [(1, 600.0, 1000.0), (2, 600.0, 1000.0)]
-DIVIDERS = [(2, 300.0, 550.0, 700.0), (2, 50.0, 290.0, 800.0)]
-BLOCK_SCHEMA = "page_id int, block_no int, block_type int, x0 double, y0 double, x1 double, y1 double, font_size double, text string"
-
-
-def layout_tables(spark):
-    return rows_of(spark, BLOCK_SCHEMA, BLOCKS), rows_of(spark, "page_id int, w double, h double", PAGES), rows_of(spark, "page_id int, lx0 double, lx1 double, ly double", DIVIDERS)
-
-
-LAYOUT = f"""b AS {values(BLOCKS, 'page_id, block_no, block_type, x0, y0, x1, y1, font_size, text')}, g AS {values(PAGES, 'page_id, w, h')}, d AS {values(DIVIDERS, 'page_id, lx0, lx1, ly')},
-x AS (SELECT * FROM b JOIN g USING (page_id) WHERE block_type = 0)"""
-
-
-@query(f"WITH {LAYOUT} SELECT page_id, block_no FROM x WHERE EXISTS (SELECT 1 FROM d WHERE d.page_id = x.page_id AND y0 >= ly - 4 AND NOT (x1 < lx0 - 15 OR x0 > lx1 + 15))")
+#: Pages made of orders, a block for each line item: places, sizes and texts from its numbers, in SQL that both engines read. Pages are 600 by 1000; two of three have a divider line.
+BLOCK_SQL = """SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_extendedprice, l_shipdate) AS block_no, CASE WHEN l_partkey % 29 = 0 THEN 1 ELSE 0 END AS block_type, CAST(l_partkey * 7 % 520 AS DOUBLE) AS x0, CAST(l_partkey * 7 % 520 + 15 + l_suppkey % 7 * 45 AS DOUBLE) AS x1,
+CAST(l_quantity * 19 AS DOUBLE) AS y0, CAST(l_quantity * 19 + 20 + l_partkey % 3 * 40 AS DOUBLE) AS y1, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(8 + l_partkey % 17 AS DOUBLE) END AS font_size,
+CASE l_partkey % 9 WHEN 0 THEN '(3) a note' WHEN 1 THEN '١٢' WHEN 2 THEN ' ----- ' WHEN 3 THEN 'تنبيه' WHEN 4 THEN 'plain words here' WHEN 5 THEN 'انظر ص الكافي' WHEN 6 THEN '  ' WHEN 7 THEN 'ends in a mark [٤]' ELSE 'a body of some more words' END AS text FROM lineitem"""
+DIVIDER_SQL = "SELECT DISTINCT l_orderkey AS page_id, CASE WHEN l_orderkey % 3 = 0 THEN 50.0E0 ELSE 300.0E0 END AS lx0, CASE WHEN l_orderkey % 3 = 0 THEN 290.0E0 ELSE 550.0E0 END AS lx1, CASE WHEN l_orderkey % 3 = 0 THEN 700.0E0 ELSE 620.0E0 END AS ly FROM lineitem WHERE l_orderkey % 3 < 2"
+
+
+def layout_tables(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    made = lambda sql: spark.sql(sql.replace("FROM lineitem", "FROM {items}"), items=items)
+    blocks = made(BLOCK_SQL).withColumn("block_no", F.col("block_no").cast("int"))
+    return blocks, blocks.select("page_id", F.lit(600.0).alias("w"), F.lit(1000.0).alias("h")).distinct(), made(DIVIDER_SQL)
+
+
+UNDER_SQL = "EXISTS (SELECT 1 FROM d WHERE d.page_id = x.page_id AND y0 >= ly - 4 AND NOT (x1 < lx0 - 15 OR x0 > lx1 + 15))"
+#: n(page_id, block_no, text, kind, ord, multi_column)
+LAYOUT_SQL = rf"""b AS ({BLOCK_SQL}), d AS ({DIVIDER_SQL}),
+f AS (SELECT *, coalesce(avg(CASE WHEN y0 > 150 AND y0 < 650 AND font_size > 0 THEN font_size END) OVER (PARTITION BY page_id), 0) AS typical FROM b),
+x AS (SELECT * REPLACE (trim(text) AS text) FROM f WHERE block_type = 0 AND trim(text) <> '' AND NOT regexp_matches(trim(text), '^[\s_—–-]{{3,}}\s*$')),
+m AS (SELECT *, y1 < 75 OR (y0 > 925 AND regexp_matches(text, '^\s*[-–—]?\s*[0-9٠-٩]+\s*[-–—]?\s*$')) AS margin, (x0 > 516 OR x1 < 84) AND ((y1 - y0 > 1.8 * (x1 - x0) AND y1 - y0 > 35) OR regexp_matches(text, '{"|".join(layout.RUBRIC_WORDS)}')) AS rubric,
+{UNDER_SQL} AS under, EXISTS (SELECT 1 FROM d WHERE d.page_id = x.page_id) AS lined FROM x),
+c AS (SELECT *, count(*) OVER p >= 4 AND bool_or(x0 > 300 AND x1 > 420) OVER p AND bool_or(x1 < 300 AND x0 < 180) OVER p AND NOT bool_or(x0 < 150 AND x1 > 450) OVER p AS multi_column FROM m WINDOW p AS (PARTITION BY page_id)),
+o AS (SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN multi_column THEN CASE WHEN x0 > 270 THEN 0 ELSE 1 END ELSE round_even(y0 / 12, 0) END, CASE WHEN multi_column THEN y0 ELSE -x0 END, block_no))::INT AS ord,
+NOT lined AND NOT under AND NOT margin AND NOT rubric AND y0 > 650 AS may FROM c),
+h AS (SELECT *, may AND (regexp_matches(text, '[(\[]\s*[0-9٠-٩*†]+\s*[)\]]') OR (typical > 13 AND coalesce(font_size, 12) < typical * 0.8 AND regexp_matches(text, '{"|".join(layout.CITATION_WORDS)}'))) AS hit FROM o),
+g AS (SELECT *, under OR hit OR (may AND NOT multi_column AND coalesce(bool_or(hit) OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE)) AS note FROM h),
+n AS (SELECT page_id, block_no::INT AS block_no, text, CASE WHEN rubric THEN 'rubric' WHEN margin THEN 'margin' WHEN note THEN 'footnote' ELSE 'body' END AS kind, ord, multi_column FROM g)"""
+
+
+@query(f"WITH x AS ({BLOCK_SQL}), d AS ({DIVIDER_SQL}) SELECT page_id, block_no::INT AS block_no FROM x WHERE {UNDER_SQL}")
 def divider_semijoin(spark, sf_dir):
-    blocks, _, dividers = layout_tables(spark)
-    return layout.below_divider(blocks.where("block_type = 0"), dividers, ["page_id"]).select("page_id", "block_no")
+    blocks, _, dividers = layout_tables(spark, sf_dir)
+    return layout.below_divider(blocks, dividers, ["page_id"]).select("page_id", "block_no")
 
 
-@query(f"""WITH {LAYOUT} SELECT page_id, block_no, CASE WHEN y1 < h * 0.075 OR (y0 > h * 0.925 AND regexp_matches(text, '^[0-9٠-٩]+$')) THEN 'margin'
-WHEN EXISTS (SELECT 1 FROM d WHERE d.page_id = x.page_id AND y0 >= ly - 4 AND NOT (x1 < lx0 - 15 OR x0 > lx1 + 15)) OR (page_id = 1 AND y0 > h * 0.65 AND regexp_matches(text, '[(]')) THEN 'footnote' ELSE 'body' END AS kind FROM x""")
+@query(f"WITH {LAYOUT_SQL} SELECT page_id, block_no, kind FROM n")
 def block_classes(spark, sf_dir):
-    return layout.classify(*layout_tables(spark)).select("page_id", "block_no", "kind")
+    return layout.classify(*layout_tables(spark, sf_dir), normalize=False).select("page_id", "block_no", "kind")
 
 
-@query(f"""WITH {LAYOUT} SELECT page_id, block_no, (row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN page_id = 2 THEN CASE WHEN x0 > w * 0.45 THEN 0 ELSE 1 END ELSE round_even(y0 / 12, 0) END, CASE WHEN page_id = 2 THEN y0 ELSE -x0 END))::INT AS ord, page_id = 2 AS multi_column FROM x""")
+@query(f"WITH {LAYOUT_SQL} SELECT page_id, block_no, ord, multi_column FROM n")
 def reading_order(spark, sf_dir):
-    return layout.classify(*layout_tables(spark)).select("page_id", "block_no", "ord", "multi_column")
+    return layout.classify(*layout_tables(spark, sf_dir), normalize=False).select("page_id", "block_no", "ord", "multi_column")
+
+
+@query(f"""WITH {LAYOUT_SQL}, r AS (SELECT page_id, kind, text, min(ord) AS ord FROM n WHERE kind = 'rubric' GROUP BY ALL), p AS (SELECT DISTINCT page_id FROM n)
+SELECT page_id, coalesce((SELECT string_agg(text, ' | ' ORDER BY ord) FROM n WHERE n.page_id = p.page_id AND kind = 'footnote'), '') AS footnotes,
+coalesce((SELECT string_agg(replace(text, ' ', ''), ' | ' ORDER BY ord) FROM r WHERE r.page_id = p.page_id), '') AS rubrics FROM p""")
+def page_notes(spark, sf_dir):
+    pages = layout.page_texts(layout.classify(*layout_tables(spark, sf_dir), normalize=False))
+    return pages.select("page_id", F.array_join("footnotes", " | ").alias("footnotes"), F.array_join("rubrics", " | ").alias("rubrics"))
 
 
 # checkpoints, projects, names

@@ -7,7 +7,7 @@ import pytest
 from quire.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "documents conversations".split()
+TABLES = "documents conversations lineitem".split()
 
 
 def plain(v):
