@@ -45,12 +45,14 @@ SMALL = 64
 #: Sets that share a key from which it is hot.
 HOT = 64
 SKETCH_BITS = 1024
+#: Text bytes that a step holds at once, beside one whole text.
+SLICE_BYTES = common.SLICE_BYTES // 2
 #: Rounds in which sets meet one set of another component for each key.
 TURNS = 2
 #: Counters (a power of two) by which frequent shingles are told in the second pigeonhole, and how many times the mean makes one frequent.
 COUNTERS, FREQUENT = 1 << 20, 8
 #: Keys for a bucket, about: it is sorted by one task at once.
-BUCKET_KEYS = 1_200_000
+BUCKET_KEYS = 800_000
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +143,7 @@ def set_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = SKETCH_BITS // 64
-        for batch in common.text_slices(batches, "text"):
+        for batch in common.text_slices(batches, "text", SLICE_BYTES):
             hashes, cuts = shingle_sets(batch.column("text"), width, seed)
             size, sent, bits = np.diff(cuts), [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -158,7 +160,7 @@ def key_rows(docs: DataFrame, width: int, seed: int, buckets: int) -> DataFrame:
     """Keys of all sets, dealt into buckets: (bucket, keys: u32 each, and runs of keys of one set and band: nodes, and runs: u32 length with the high bit for the set's own band)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches, "text"):
+        for batch in common.text_slices(batches, "text", SLICE_BYTES):
             hashes, cuts = shingle_sets(batch.column("text"), width, seed)
             nodes = nodes_of(hashes, cuts)
             keys, owners, seen = [], [], set()
@@ -249,37 +251,32 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, see
     wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"), "fp", "node")
 
     def made(batches):
-        for batch in common.text_slices(batches, "text"):
+        for batch in common.text_slices(batches, "text", SLICE_BYTES):
             hashes, cuts = shingle_sets(batch.column("text"), width, seed)
-            own = [hashes[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), common.longs(np.diff(cuts)), pa.array([sketch(x, long_bits(len(x))) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["want", "n", "bits", "hashes"])
+            bits = [sketch(hashes[a:b], long_bits(b - a)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            sets = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), common.longs(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), common.longs(np.diff(cuts)), pa.array(bits, pa.binary()), sets], names=["want", "n", "bits", "hashes"])
 
     wanted = common.few(wanted, common.BROADCAST_IDS)
     texts = docs.join(wanted, ["doc_id", "fp"]).select("node", "text")
-    found = common.shared_table(texts.mapInArrow(made, "want bigint, n bigint, bits binary, hashes binary").dropDuplicates(["want"]), "sets")
-
-    def tested(pairs: DataFrame, columns: list[str], holds) -> DataFrame:
-        """Pairs for which holds(x's columns, y's columns)."""
-
-        def test(batches):
-            for batch in batches:
-                x, y = (list(zip(*(batch.column(f"{side}_{c}") for c in columns), strict=True)) for side in "xy")
-                ok = [holds(*[[v.as_py() if c == "n" else np.frombuffer(v.as_buffer(), np.uint64) for c, v in zip(columns, one, strict=True)] for one in each]) for each in zip(x, y, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    found = common.shared_table(texts.mapInArrow(made, "want bigint, n bigint, bits binary, hashes array<bigint>").dropDuplicates(["want"]), "sets")
 
+    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
+        """Pairs with columns of both sets, as x_ and y_."""
         side = lambda own, s: found.select(F.col("want").alias(own), *[F.col(c).alias(f"{s}_{c}") for c in columns])
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", *[f"{s}_{c}" for s in "xy" for c in columns])
-        return both.mapInArrow(test, "a bigint, b bigint")
-
-    def near(x, y):
-        return (DEN + NUM) * distance(x[1], y[1]) <= (DEN - NUM) * (x[0] + y[0])
-
-    def links(x, y):
-        n = len(np.intersect1d(x[0], y[0], assume_unique=True))
-        return DEN * n >= NUM * (len(x[0]) + len(y[0]) - n)
-
-    left = common.shared_table(tested(pairs, ["n", "bits"], near), "near")
-    out = common.shared_table(tested(left, ["hashes"], links), "verified")
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+    def near(batches):
+        """Pairs whose long sketches are near enough, so that large sets that are not are never laid side by side."""
+        for batch in batches:
+            rows = zip(*(batch.column(c) for c in ("x_n", "y_n", "x_bits", "y_bits")), strict=True)
+            ok = [(DEN + NUM) * distance(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))) <= (DEN - NUM) * (m.as_py() + n.as_py()) for m, n, x, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = common.shared_table(with_both(pairs, "n", "bits").select("a", "b", "x_n", "y_n", "x_bits", "y_bits").mapInArrow(near, "a bigint, b bigint"), "near")
+    # whole sets are compared within the JVM, row by row: a batch of pairs of sets would be held twice
+    both = with_both(left, "n", "hashes").select("a", "b", "x_n", "y_n", F.size(F.array_intersect("x_hashes", "y_hashes")).alias("n"))
+    out = common.shared_table(both.where(DEN * F.col("n") >= NUM * (F.col("x_n") + F.col("y_n") - F.col("n"))).select("a", "b"), "verified")
     common.drop_table(found, left)
     return out
 
@@ -297,7 +294,7 @@ def hot_pairs(nodes: DataFrame, sets: DataFrame, docs: DataFrame, width: int, se
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
-        for batch in common.text_slices(batches, "text"):
+        for batch in common.text_slices(batches, "text", SLICE_BYTES):
             total += np.bincount((shingle_sets(batch.column("text"), width, seed)[0] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 100_000):
@@ -312,7 +309,7 @@ def hot_pairs(nodes: DataFrame, sets: DataFrame, docs: DataFrame, width: int, se
 
     def firsts(batches):
         last = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        for batch in common.text_slices(batches, "text"):
+        for batch in common.text_slices(batches, "text", SLICE_BYTES):
             hashes, cuts = shingle_sets(batch.column("text"), width, seed)
             often = last[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
             key, node, small = [], [], []
@@ -362,8 +359,9 @@ def grouped(docs: DataFrame, width: int = WIDTH, bucket_keys: int = BUCKET_KEYS)
     side = lambda x: known.select(F.col("node").alias(x), F.struct("n", "sketch").alias(f"{x}_x"))
     pairs = shared.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     pairs = common.shared_table(pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("a_x", "b_x")).select("a", "b"), "candidates")
-    links = verified(pairs, known, docs, width, seed)
-    common.drop_table(pairs)
+    if not some(pairs) and not some(shared.where("node != least")):
+        return rows.select("doc_id", "fp", "n_shingles", "node"), sets.select("node", "rep", F.col("node").alias("component")), pairs
+    links = verified(pairs, known, docs, width, seed) if some(pairs) else pairs
     found = connected_components(links)
     label = known.select("node", "n", "blocks").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     hot = shared.where(f"own and sets > {HOT}").groupBy("node").agg(F.count("*").alias("hot"))
@@ -376,13 +374,29 @@ def grouped(docs: DataFrame, width: int = WIDTH, bucket_keys: int = BUCKET_KEYS)
         pivot = rest.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
         pairs = rest.join(pivot, "key").where("component != pivot.component").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         pairs = common.shared_table(pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("a_x", "b_x")).select("a", "b"), "candidates")
-        if not pairs.limit(1).count():
+        if not some(pairs):
             break
         links = links.unionByName(verified(pairs, known, docs, width, seed))
         found, old = connected_components(links), rest
         again = rest.drop("component").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         rest = common.shared_table(spanning(again.select("key", "node", "sets", "component", "searches")), "labelled")
         common.drop_table(old, pairs)
+    if some(rest):
+        more = across(rest, known, docs, width, seed)
+        common.drop_table(rest)
+        if some(more):
+            links = links.unionByName(verified(more, known, docs, width, seed))
+            found = connected_components(links)
+    of = sets.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    return rows.select("doc_id", "fp", "n_shingles", "node"), of, links
+
+
+def some(rows: DataFrame) -> bool:
+    return bool(rows.limit(1).count())
+
+
+def across(rest: DataFrame, known: DataFrame, docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """(a, b) of nodes of different components that share a key and may link. rest: key, node, sets, component, searches of keys that span components."""
     spans = rest.groupBy("key").agg(F.max("sets").alias("sets"), F.bool_or("searches").alias("searched"))
     cold = rest.join(spans.where(f"sets <= {HOT}").select("key"), "key").join(known.select("node", F.struct("n", "sketch").alias("x")), "node")
     cold = common.shared_table(cold.select("key", "node", "component", "x"), "open")
@@ -390,14 +404,11 @@ def grouped(docs: DataFrame, width: int = WIDTH, bucket_keys: int = BUCKET_KEYS)
     q = cold.select("key", F.col("node").alias("b"), "component", F.col("x").alias("q"))
     more = p.join(q, (F.col("k") == F.col("key")) & F.expr(f"a < b and c != component and {may_link('p', 'q')}")).select("a", "b").distinct()
     searched = common.shared_table(rest.join(spans.where(f"sets > {HOT} and searched").select("key"), "key").select("node", "component").distinct(), "searched")
-    if searched.limit(1).count():
+    if some(searched):
         more = more.unionByName(hot_pairs(searched, known, docs, width, seed))
     more = common.shared_table(more.distinct(), "more")
-    common.drop_table(rest, cold)
-    links = links.unionByName(verified(more, known, docs, width, seed))
-    found = connected_components(links)
-    of = sets.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    return rows.select("doc_id", "fp", "n_shingles", "node"), of, links
+    common.drop_table(cold)
+    return more
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, DataFrame]:
