@@ -651,6 +651,29 @@ def test_decontamination_short_items():
             assert [x[6] for x in found] == [size - changed] * bool(len(block.hits(text)))
 
 
+def test_decontamination_against_brute_force():
+    """Every offset of every item tried: what is found is accepted there too, and of what is accepted nearly all is found."""
+    r = np.random.default_rng(11)
+    items = [r.integers(1, 400, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (15, 20, 30, 60)]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in items])])
+    block = decontam.Block(np.arange(4), np.concatenate(items), ends, decontam.MASKS)
+    found, accepted = set(), set()
+    for t in range(150):
+        item = items[t % 4]
+        part = item[r.integers(0, 4) :].copy()
+        part[r.random(len(part)) < r.choice([0.0, 0.1, 0.2])] = 0
+        text = np.concatenate([r.integers(500, 900, 40).astype(np.uint64), part, r.integers(500, 900, 40).astype(np.uint64)])
+        found |= {(t, m[1]) for m in decontam.matches(block, text, np.array([0, len(text)]), decontam.MIN_WORDS, decontam.MIN_IDENTITY)}
+        for i, x in enumerate(items):
+            for offset in range(-len(x) + 1, len(text)):
+                lo, hi = max(0, -offset), min(len(x), len(text) - offset)
+                equal = text[offset + lo : offset + hi] == x[lo:hi]
+                s, e = decontam.best_run(equal, decontam.MIN_IDENTITY)
+                if (n := int(equal[s:e].sum())) and n >= min(decontam.MIN_WORDS, 0.7 * len(x)):
+                    accepted.add((t, i))
+    assert found <= accepted and len(found) >= 0.95 * len(accepted) > 100
+
+
 def test_best_run():
     r = random.Random(3)
     for _ in range(300):
@@ -712,7 +735,8 @@ def test_pipeline_edges(spark, tmp_path):
         if docs:
             assert kept[0] == Counter((i, t) for i, t, _ in rows if t)
             assert kept[1] == kept[2] == Counter([(1, plain[0]), (1, plain[1]), (None, plain[2]), (None, plain[2]), (5, long)])
-        mixed = corpus_pipeline.mix_sources(spark, df, str(tmp_path))
+        corpus_pipeline.mix_sources(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/{name}-mixed")
+        mixed = spark.read.parquet(f"{tmp_path}/{name}-mixed")
         assert corpus_pipeline.token_shards(spark, mixed, str(tmp_path)).count() == mixed.count()
     own = common.shared_table(spark.range(3), "mine")
     corpus_pipeline.quality_rules(spark, table(spark, rows), str(tmp_path))
