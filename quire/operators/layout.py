@@ -33,11 +33,16 @@ class Options:
     exclude_margin_rubrics: bool = True
 
 
+def share(size: str, percent: float) -> Column:
+    """So many percent of a page's size. The product is exact for whole sizes, so a place on the border is on it: 600 * 0.14 is over 84."""
+    return F.col(size) * F.lit(float(percent)) / 100.0
+
+
 def divider_lines(lines: DataFrame, height: str = "h") -> DataFrame:
     """Of drawn lines (keys, x_a, y_a, x_b, y_b, h), those that part footnotes from the body: level, low on the page and wide. Adds lx0, lx1, ly."""
     ly = (F.col("y_a") + F.col("y_b")) / 2
     lx0, lx1 = F.least("x_a", "x_b"), F.greatest("x_a", "x_b")
-    out = lines.where((F.abs(F.col("y_a") - F.col("y_b")) < 2) & (ly > F.col(height) * 0.55) & (lx1 - lx0 > 35))
+    out = lines.where((F.abs(F.col("y_a") - F.col("y_b")) < 2) & (ly > share(height, 55)) & (lx1 - lx0 > 35))
     return out.select(*[c for c in lines.columns if c not in ("x_a", "y_a", "x_b", "y_b", height)], lx0.alias("lx0"), lx1.alias("lx1"), ly.alias("ly"))
 
 
@@ -61,13 +66,13 @@ def classify(blocks: DataFrame, pages: DataFrame, dividers: DataFrame | None = N
     keys = list(keys)
     page = Window.partitionBy(*keys)
     rows = blocks.join(pages, keys)
-    in_body = (F.col("y0") > F.col("h") * 0.15) & (F.col("y0") < F.col("h") * 0.65) & (F.col("font_size") > 0)
+    in_body = (F.col("y0") > share("h", 15)) & (F.col("y0") < share("h", 65)) & (F.col("font_size") > 0)
     rows = rows.withColumn("__typical", F.coalesce(F.avg(F.when(in_body, F.col("font_size"))).over(page), F.lit(0.0)))
     text = N.normalize(T.strip("text")) if normalize else T.strip("text")
     rows = rows.where("block_type = 0").withColumn("text", text).where((F.col("text") != "") & ~F.col("text").rlike(RULE_LINE))
-    margin = F.lit(options.remove_headers_footers) & ((F.col("y1") < F.col("h") * 0.075) | ((F.col("y0") > F.col("h") * 0.925) & F.col("text").rlike(PAGE_NUMBER)))
+    margin = F.lit(options.remove_headers_footers) & ((F.col("y1") < share("h", 7.5)) | ((F.col("y0") > share("h", 92.5)) & F.col("text").rlike(PAGE_NUMBER)))
     ribbon = ((F.col("y1") - F.col("y0")) > 1.8 * (F.col("x1") - F.col("x0"))) & ((F.col("y1") - F.col("y0")) > 35)
-    outer = (F.col("x0") > F.col("w") * 0.86) | (F.col("x1") < F.col("w") * 0.14)
+    outer = (F.col("x0") > share("w", 86)) | (F.col("x1") < share("w", 14))
     rubric = F.lit(options.exclude_margin_rubrics) & outer & (ribbon | contains_any(F.col("text"), RUBRIC_WORDS))
     rows = rows.withColumn("__margin", margin).withColumn("__rubric", rubric)
     if dividers is not None and options.separate_footnotes:
@@ -77,19 +82,19 @@ def classify(blocks: DataFrame, pages: DataFrame, dividers: DataFrame | None = N
     else:
         rows = rows.withColumn("__under", F.lit(False)).withColumn("__lined", F.lit(False))
     rows = rows.withColumn("__under", F.coalesce("__under", F.lit(False))).withColumn("__lined", F.coalesce("__lined", F.lit(False)))
-    right = F.bool_or((F.col("x0") > F.col("w") * 0.5) & (F.col("x1") > F.col("w") * 0.7)).over(page)
-    left = F.bool_or((F.col("x1") < F.col("w") * 0.5) & (F.col("x0") < F.col("w") * 0.3)).over(page)
-    across = F.bool_or((F.col("x0") < F.col("w") * 0.25) & (F.col("x1") > F.col("w") * 0.75)).over(page)
+    right = F.bool_or((F.col("x0") > share("w", 50)) & (F.col("x1") > share("w", 70))).over(page)
+    left = F.bool_or((F.col("x1") < share("w", 50)) & (F.col("x0") < share("w", 30))).over(page)
+    across = F.bool_or((F.col("x0") < share("w", 25)) & (F.col("x1") > share("w", 75))).over(page)
     rows = rows.withColumn("multi_column", (F.count("*").over(page) >= 4) & right & left & ~across)
     # columns from the right, each downward; or bands of 12 points, each from the right
-    first = F.when(F.col("multi_column"), F.when(F.col("x0") > F.col("w") * 0.45, 0.0).otherwise(1.0)).otherwise(F.bround(F.col("y0") / 12.0, 0))
+    first = F.when(F.col("multi_column"), F.when(F.col("x0") > share("w", 45), 0.0).otherwise(1.0)).otherwise(F.bround(F.col("y0") / 12.0, 0))
     second = F.when(F.col("multi_column"), F.col("y0")).otherwise(-F.col("x0"))
     order = Window.partitionBy(*keys).orderBy(first, second, "block_no")
     rows = rows.withColumn("ord", F.row_number().over(order))
     marked = F.substring("text", 1, 25).rlike(FOOTNOTE_MARK) | F.when(F.length("text") > 25, F.substring(F.col("text"), F.length("text") - 24, F.lit(25)).rlike(FOOTNOTE_MARK)).otherwise(False)
     size = F.coalesce("font_size", F.lit(12.0))
     citation = (F.col("__typical") > 13) & (size > 0) & (size < F.col("__typical") * 0.8) & contains_any(F.col("text"), CITATION_WORDS)
-    candidate = F.lit(options.separate_footnotes) & ~F.col("__lined") & ~F.col("__under") & ~F.col("__margin") & ~F.col("__rubric") & (F.col("y0") > F.col("h") * 0.65)
+    candidate = F.lit(options.separate_footnotes) & ~F.col("__lined") & ~F.col("__under") & ~F.col("__margin") & ~F.col("__rubric") & (F.col("y0") > share("h", 65))
     rows = rows.withColumn("__hit", candidate & (marked | citation)).withColumn("__may", candidate)
     earlier = F.max("__hit").over(order.rowsBetween(Window.unboundedPreceding, -1))
     note = F.col("__under") | F.col("__hit") | (F.col("__may") & ~F.col("multi_column") & F.coalesce(earlier, F.lit(False)))

@@ -294,6 +294,20 @@ def test_pdf_parts(spark):
     assert "نص المتن الأول" in text and "حاشية" in text and files.read_pdf(parts, 1).count() == 0
 
 
+#: Blocks of a page of 600 by 1000: the first ends on the border of the left margin, the others lie within and without.
+MARGIN = "page_id int, block_no int, block_type int, x0 double, y0 double, x1 double, y1 double, font_size double, text string"
+MARGIN_BLOCKS = [(1, 1, 0, 69.0, 200.0, 84.0, 260.0, 12.0, "on it"), (1, 2, 0, 68.0, 300.0, 83.0, 360.0, 12.0, "with in"), (1, 3, 0, 516.0, 400.0, 531.0, 460.0, 12.0, "also on it")]
+
+
+def margin_page(spark):
+    pages = spark.createDataFrame([(1, 600.0, 1000.0)], "page_id int, w double, h double")
+    return layout.classify(spark.createDataFrame(MARGIN_BLOCKS, MARGIN), pages, normalize=False)
+
+
+def test_layout_border_of_the_margin(spark):
+    assert {b.block_no: b.kind for b in margin_page(spark).collect()} == {1: "body", 2: "rubric", 3: "body"}
+
+
 def test_command_line(spark, tmp_path, capsys):
     import json
 
