@@ -308,6 +308,11 @@ def test_layout_border_of_the_margin(spark):
     assert {b.block_no: b.kind for b in margin_page(spark).collect()} == {1: "body", 2: "rubric", 3: "body"}
 
 
+def test_page_texts_border_of_the_margin(spark):
+    got = layout.page_texts(margin_page(spark)).first()
+    assert got.rubrics == ["within"] and " ".join(got.body) == "on it also on it" and got.footnotes == []
+
+
 def test_command_line(spark, tmp_path, capsys):
     import json
 
