@@ -30,6 +30,8 @@ MIN_IDENTITY = 0.75
 #: Benchmark words held by a task at once.
 BLOCK_WORDS = 2_000_000
 BITS = 22
+#: Text bytes that a step holds at once, beside one whole text.
+SLICE_BYTES = common.SLICE_BYTES // 4
 SCHEMA = "doc_id bigint, item_id bigint, doc_start int, doc_end int, item_start int, item_end int, n_equal int, n_words int"
 
 
@@ -111,7 +113,7 @@ class Block:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-_ready: dict[str, Block] = {}
+_ready: dict[str, Block] = common.kept("block")
 
 
 def ready(name: str, make) -> Block:
@@ -188,7 +190,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         def search(batches, sent=sent, name=uuid.uuid4().hex):
             block = ready(name, lambda: Block(*sent.value, masks))
             ids = block.ids
-            for batch in common.text_slices(batches, "text"):
+            for batch in common.text_slices(batches, "text", SLICE_BYTES, keeps="block"):
                 got = matches(block, *normal_words(batch.column("text")), min_words, min_identity)
                 if got:
                     text, item, *rest = (np.array(x) for x in zip(*got, strict=True))
@@ -206,7 +208,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", masks:
 
         def without(batches, sent=sent, name=uuid.uuid4().hex):
             block = ready(name, lambda: Block(*sent.value, masks))
-            for batch in common.text_slices(batches, text_col):
+            for batch in common.text_slices(batches, text_col, SLICE_BYTES, keeps="block"):
                 bad = {t for t, *_ in matches(block, *normal_words(batch.column(text_col)), min_words, min_identity)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
 

@@ -46,7 +46,7 @@ SMALL = 64
 HOT = 64
 SKETCH_BITS = 1024
 #: Text bytes that a step holds at once, beside one whole text.
-SLICE_BYTES = common.SLICE_BYTES // 2
+SLICE_BYTES = common.SLICE_BYTES // 4
 #: Rounds in which sets meet one set of another component for each key.
 TURNS = 2
 #: Counters (a power of two) by which frequent shingles are told in the second pigeonhole, and how many times the mean makes one frequent.
@@ -222,6 +222,8 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             node.append(np.repeat(n, r & np.uint32(0x7FFFFFFF)))
             own.append(np.repeat((r >> np.uint32(31)).astype(np.uint8), r & np.uint32(0x7FFFFFFF)))
         found = np.concatenate(key).astype(np.int64) | np.int64(number) << np.int64(32)
+        key.clear()
+        common.trim()  # of the bucket before
         return shared_of(found, np.concatenate(node).view(np.int64), np.concatenate(own))
 
     return keys.groupBy("bucket").applyInArrow(bucket, SHARED)

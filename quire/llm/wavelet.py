@@ -37,6 +37,8 @@ END_ID = 1
 SHARD_TOKENS = 1 << 20
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 250_000
+#: Text bytes that are encoded at once, beside one whole text.
+SLICE_BYTES = common.SLICE_BYTES // 4
 #: The pre-tokenizer's pattern, for texts that the fast way takes.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Outside these characters the library's own normalizer and pre-tokenizer are run.
@@ -120,7 +122,7 @@ class Encoder:
         return [self.direct(texts[i].as_py()) if slow[i] else next(fast) for i in range(len(texts))]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = common.kept("encoder")
 
 
 def encoder(path: str) -> Encoder:
@@ -294,7 +296,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             ids, counts, docs, have, seq = [], [], [], 0, seq + 1
             return row
 
-        for batch in common.text_slices(batches, "text"):
+        for batch in common.text_slices(batches, "text", SLICE_BYTES, keeps="encoder"):
             for doc, got in zip(batch.column("doc").to_pylist(), encode(batch.column("text")), strict=True):
                 ids += [got, end]
                 counts.append(len(got) + 1)

@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -674,6 +676,35 @@ def test_decontamination_against_brute_force():
     assert found <= accepted and len(found) >= 0.95 * len(accepted) > 100
 
 
+def test_memory_given_back():
+    """After slices of 32 MB of texts a worker holds little more than before them."""
+    script = """
+import ctypes
+import os
+import pyarrow as pa
+from quire.llm import common, decontam
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+block = decontam.Block(decontam.np.array([1]), *decontam.normal_words(pa.array(["a b c d e f g h i j"])), decontam.MASKS)
+batch = pa.record_batch({"text": [" ".join(f"w{(i * 7919 + j * j) % 40_000}" for j in range(600)) for i in range(9000)]})
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+before = held()
+for _ in range(2):
+    for part in common.text_slices([batch], "text"):
+        decontam.matches(block, *decontam.normal_words(part.column("text")), 13, 0.75)
+print(held() - before >> 20)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True).stdout)
+    assert grown < 50
+
+
+def test_other_steps_forget_the_encoder():
+    wavelet.encoder(tokenizer_path())
+    batch = pa.record_batch({"text": ["a b"]})
+    assert list(common.text_slices([batch], "text", keeps="encoder")) and common.kept("encoder")
+    assert list(common.text_slices([batch], "text")) and not wavelet._encoders
+
+
 def test_best_run():
     r = random.Random(3)
     for _ in range(300):
