@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and its edge cases."""
 
+import itertools
 import math
 import random
 import re
@@ -317,6 +318,40 @@ def test_passages_first_met_in_parts(spark):
     assert all((x.start, x.end, x.source_start, x.source_end, x.n_equal) == (70, 131, 70, 131, 61) for x in got.values())
 
 
+@pytest.mark.parametrize("holders", [1, 12])
+def test_passages_whose_seeds_stand_first_elsewhere(spark, holders):
+    """Two texts repeat a passage with other words in it; each of its pieces stands first in texts that hold no more of it."""
+    rows, at = [], 0
+    shared = words(72, 40, 100_000)
+    for piece in range(4):
+        for _ in range(holders):
+            at += 1
+            rows.append((at, " ".join(words(60, 6000 + at, 100_000) + shared[18 * piece : 18 * piece + 18] + words(60, 7000 + at, 100_000)), "a"))
+    for i in (901, 902):
+        run = [f"x{i}{k}" if k % 18 == 17 else w for k, w in enumerate(shared)]
+        rows.append((i, " ".join(words(50, 8000 + i, 100_000) + run + words(50, 9000 + i, 100_000)), "a"))
+    got = chains.passages(table(spark, rows).coalesce(1)).collect()
+    assert [(x.doc_id, x.source_id, x.start, x.end, x.source_start, x.source_end, x.n_equal) for x in got] == [(902, 901, 50, 121, 50, 121, 68)]
+
+
+def test_passages_of_every_pair(spark):
+    """Pairs found, or implied by an equal passage's pairs, against all pairs of texts laid side by side."""
+    r, shared = random.Random(3), [words(70, 300 + k, 100_000) for k in range(3)]
+    rows = []
+    for i in range(24):
+        run = [f"y{i}" if r.random() < 0.04 else w for w in r.choice(shared)]
+        rows.append((i, " ".join(words(30, 400 + i, 100_000) + run[r.choice((0, 12)) :] + words(30, 500 + i, 100_000)), "a"))
+    found = {(x.doc_id, x.source_id) for x in chains.passages(table(spark, rows)).collect()}
+    numbers = [common.hash_strings(pa.array(t.split())) for _, t, _ in rows]
+    seeds, want = [chains.seeds_of(w) for w in numbers], set()
+    for i, j in itertools.combinations(range(24), 2):
+        y, x = np.nonzero(seeds[i][1][:, None] == seeds[j][1][None, :])
+        if len(x) and chains.passages_of(seeds[j][0][x], seeds[i][0][y], numbers[j], numbers[i], chains.MIN_WORDS, chains.MIN_IDENTITY):
+            want.add((j, i))
+    assert len(want) > 60 and found <= want
+    assert all(any((j, a) in found and (i, a) in found for a in range(i)) for j, i in want - found)
+
+
 def test_open_runs():
     r = np.random.default_rng(4)
     for _ in range(200):
