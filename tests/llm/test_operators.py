@@ -352,6 +352,13 @@ def test_passages_of_every_pair(spark):
     assert all(any((j, a) in found and (i, a) in found for a in range(i)) for j, i in want - found)
 
 
+def test_passages_leave_no_words(spark, edges):
+    """When the rows are returned, the words and pairs they came from are off the disk."""
+    with common.noting() as left:
+        got = chains.passages(edges)
+    assert {p.rsplit("/", 1)[1] for p in left} <= {"copies", "found", "ids"} and got.count()
+
+
 def test_open_runs():
     r = np.random.default_rng(4)
     for _ in range(200):
