@@ -266,6 +266,47 @@ def test_chain_against_brute_force():
         assert math.isclose(max(map(total, runs)), max(best.values()), abs_tol=1e-9)
 
 
+def test_first_look_loses_no_pair():
+    """Pairs that the first look tells apart have no passage by the whole alignment, and pairs by chance are told apart."""
+    r, lost, found, gone = np.random.default_rng(4), 0, 0, 0
+    for t in range(1500):
+        a, b = (r.integers(0, r.choice([2, 3, 30, 1000]), int(r.integers(45, 140))).astype(np.uint32) * np.uint32(1_000_003) for _ in range(2))
+        if t % 3:
+            k = int(r.integers(chains.K, min(len(a), len(b))))
+            i, j = int(r.integers(0, len(a) - k + 1)), int(r.integers(0, len(b) - k + 1))
+            b[j : j + k] = np.where(r.random(k) < r.choice([0, 0.05, 0.12]), np.uint32(7), a[i : i + k])
+        runs = [np.lib.stride_tricks.sliding_window_view(v, chains.K) for v in (a, b)]
+        at = np.argwhere((runs[0][:, None] == runs[1][None]).all(axis=-1))
+        at = at[r.random(len(at)) < r.choice([0.05, 0.3, 1])][: chains.LOOKED]
+        if not len(at):
+            continue
+        x, y = at.T
+        about = [chains.surroundings(v, p) for v, p in ((a, x), (b, y))]
+        before, after = (chains.reach(about[0][:, s], about[1][:, s]) for s in (slice(0, chains.NEAR), slice(chains.NEAR, None)))
+        kept = chains.hopeful(np.full(len(x), 5), x, y, before, after, chains.MIN_WORDS).tolist()
+        passage = bool(chains.passages_of(x, y, a, b, chains.MIN_WORDS, chains.MIN_IDENTITY))
+        assert kept in ([], [5])
+        lost, found, gone = lost + (passage and not kept), found + passage, gone + (not kept)
+    assert lost == 0 and found > 100 and gone > 100
+
+
+def test_chance_pairs_send_no_texts(spark, monkeypatch):
+    """Of two texts that share a common line only, no words are joined: the pair ends at the first look."""
+    made, real, line = {}, common.shared_table, words(chains.K + chains.WINDOW, 77, 10_000)
+
+    def told(df, name):
+        made[name] = real(df, name)
+        made[f"{name} rows"] = made[name].collect()
+        return made[name]
+
+    monkeypatch.setattr(common, "shared_table", told)
+    put = lambda i, run: (i, " ".join(words(90, 2500 + i, 10_000) + run + words(80, 2900 + i, 10_000)), "a")
+    rows = [put(i, line) for i in range(1, 6)] + [put(i, words(70, 78, 10_000)) for i in (10, 11)]
+    got = chains.passages(table(spark, rows)).collect()
+    assert {(x.doc_id, x.source_id) for x in got} == {(11, 10)}
+    assert {(x.doc_id, x.source_id) for x in made["pairs rows"]} == {(11, 10)}
+
+
 def test_passages_against_brute_force(spark):
     """Every word that stands in an exact run of 45 words or more of an earlier document is in a reported passage."""
     r, shared = random.Random(12), [words(n, 8000 + n, 10_000) for n in (45, 50, 61, 80)]
