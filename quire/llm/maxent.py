@@ -1,13 +1,17 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(token | history) = log P(class | history) + log P(token | class). The class softmax has n-gram and skip features of the history: the word before, the word before that (skip) and both,
-hashed to `2 ** BITS` rows of weights. Within a class the softmax has a bias for each token, whose optimum is its share of the class.
+log P(token | history) = log P(class | history) + log P(token | class, history). The class softmax has n-gram and skip features of the history, folded to SYMBOLS symbols: the word before, the word before that (skip) and both,
+hashed to `2 ** BITS` rows of weights.
+
+Both softmaxes are then refined by the history's whole words: classes, and the words of each class, are the leaves of a tree of binary decisions (by Huffman, so a token takes few). A decision's log odds are those of the class softmax (between
+classes) or of the counts (within a class), plus the weights of its n-gram, skip and joint features, hashed with the decision to at most `2 ** MOST_SLOT_BITS` weights. So all probabilities of a history sum to one without a sum over words.
 
 Classes: the end, the most frequent words one by one, further frequent words by their hashed endings, and one class for all words beyond the `VOCABULARY` most frequent. Words of that class have
 their count from a join with the count table of the whole training corpus, so counts are exact however rare a word is; only the frequent words are sent to every task.
 
 Training: one pass counts words; one pass counts classes after histories, the sufficient statistics of the whole corpus, of at most 2 ** 16 histories. Gradients are then taken over that table, distributed,
-summed by weight row and applied on the driver (a bounded number of weights); each row's step is scaled by its counts.
+summed by weight row and applied on the driver (a bounded number of weights); each row's step is scaled by its counts. The decisions' weights take one step, of the gradients and curvatures
+that a pass over all texts sums by weight (two half steps cost twice as much and did no better on texts held out).
 
 Edge cases: null and empty texts have the end only; very long texts are scored whole, as one row of sums; without training documents every count is 0 and the base gives each token probability 1; an empty table gives no rows; repeated rows are learned from and
 scored each; other columns are ignored.
@@ -35,6 +39,11 @@ RARE = CLASSES - 1
 #: History symbols: end or start, frequent words, endings of other words.
 SYMBOLS, KNOWN_BEFORE = 256, 192
 STEPS, RATE, PRIOR = 8, 0.6, 4.0
+#: Weights of the decisions: as many as training tokens, within these bounds; how their step is held back.
+LEAST_SLOT_BITS, MOST_SLOT_BITS = 12, 21
+SLOT_PRIOR, SLOT_BOUND = 4.0, 0.5
+#: Weights of a block, which is summed at once; tokens whose decisions are held at once.
+BLOCK, TOKENS = 1 << 12, 1 << 12
 END = "\n"
 
 
@@ -96,6 +105,16 @@ class Tokens:
         two = np.concatenate([[0, 0], symbol[:-2]])[:n]
         two[self.starts] = 0
         self.history = two * SYMBOLS + one
+        self.leaf = np.where(self.known < 0, len(lexicon.words), self.known)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of each token's n-gram, skip and joint feature, from whole words."""
+        whole = common.hash_strings(self.distinct)[self.word]
+        one = np.concatenate([whole[-1:], whole[:-1]])  # the last token of a slice is an end
+        two = np.concatenate([one[:1], one[:-1]])
+        two[self.starts] = whole[-1:]
+        one, two = common.mix(one + np.uint64(1)), common.mix(two + np.uint64(2))
+        return one, two, common.mix(one + two)
 
 
 def feature_rows(history: np.ndarray) -> np.ndarray:
@@ -111,6 +130,156 @@ def log_softmax(history: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def huffman(mass: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """For the leaves 0 to n - 1 and the joints n to 2 n - 2, which is the root: the joint above (root: -1) and the side there; for the joints: log odds of side 1."""
+    n, order, mass = len(mass), np.argsort(mass, kind="stable").tolist(), mass.tolist()
+    up, side, odds, i, j = [-1] * (2 * n - 1), [0] * (2 * n - 1), np.zeros(n - 1), 0, n
+    for joint in range(n, 2 * n - 1):
+        two = []
+        for s in (0, 1):
+            if i < n and (j >= joint or mass[order[i]] <= mass[j]):
+                x, i = order[i], i + 1
+            else:
+                x, j = j, j + 1
+            up[x], side[x] = joint, s
+            two.append(mass[x])
+        mass.append(two[0] + two[1])
+        odds[joint - n] = np.log(two[1] / two[0])
+    return up, side, odds
+
+
+@dataclass(frozen=True)
+class Tree:
+    """The decisions of each frequent word, and of the rare class as one leaf more. Decisions 0 to CLASSES - 2 are between classes."""
+
+    path: np.ndarray  # 2 * decision + side, leaf by leaf
+    first: np.ndarray  # of each leaf, with the end
+    odds: np.ndarray  # log odds of side 1 by counts
+    sides: np.ndarray  # of side, class and decision between classes: whether the class is there
+
+    @classmethod
+    def of(cls, lexicon: Lexicon) -> Tree:
+        classes, n = lexicon.classes(), len(lexicon.words)
+        mass = np.bincount(classes, weights=lexicon.counts, minlength=CLASSES) + 0.5
+        mass[RARE] += lexicon.rare_mass()
+        up, side, odds = huffman(mass)
+        up = np.array(up) - CLASSES
+        leaf_up, leaf_side = np.full(n + 1, up[RARE]), np.full(n + 1, side[RARE])
+        ups, sides, all_odds, joints = [up[CLASSES:]], [side[CLASSES:]], [odds], CLASSES - 1
+        ups[0][-1] = -1
+        for c in np.unique(classes).tolist():
+            words = np.flatnonzero(classes == c)
+            k = len(words)
+            above, at, odds = huffman(lexicon.counts[words])
+            above = np.array(above) - k + joints
+            above[-1], at[-1] = up[c], side[c]  # the root hangs where the class does
+            leaf_up[words], leaf_side[words] = above[:k], at[:k]
+            ups.append(above[k:])
+            sides.append(at[k:])
+            all_odds.append(odds)
+            joints += k - 1
+        ups, sides = np.concatenate(ups).astype(np.int64), np.concatenate(sides).astype(np.int64)
+
+        def paths(at, on):
+            leaf, leaves, steps = np.arange(len(at)), [], []
+            while len(leaf):
+                leaves.append(leaf)
+                steps.append(2 * at + on)
+                on, at = sides[at], ups[at]
+                on, leaf, at = on[at >= 0], leaf[at >= 0], at[at >= 0]
+            leaves = np.concatenate(leaves)
+            return leaves[order := np.argsort(leaves, kind="stable")], np.concatenate(steps)[order]
+
+        leaves, path = paths(leaf_up, leaf_side)
+        between = np.zeros((2, CLASSES, CLASSES - 1))
+        of, steps = paths(up[:CLASSES], np.array(side[:CLASSES]))
+        between[steps % 2, of, steps // 2] = 1
+        return cls(path.astype(np.int32), np.searchsorted(leaves, np.arange(n + 2)), np.concatenate(all_odds).astype(np.float32), between)
+
+    def between(self, by_class: np.ndarray) -> np.ndarray:
+        """Log odds of the decisions between classes, from log probabilities of the classes."""
+        out = np.empty((len(by_class), CLASSES - 1), np.float32)
+        for at in range(0, len(by_class), 4096):
+            p = np.exp(by_class[at : at + 4096])
+            out[at : at + 4096] = np.log(np.maximum(p @ self.sides[1], 1e-30)) - np.log(np.maximum(p @ self.sides[0], 1e-30))
+        return out
+
+
+def decisions(leaf: np.ndarray, contexts: tuple, history: np.ndarray, between: np.ndarray, tree: Tree, bits: int, slots: np.ndarray | None):
+    """Where each token's decisions begin; for each decision: the side taken, the log odds of side 1, and the weights' numbers. history: the row of between."""
+    first = tree.first.take(leaf)
+    n = tree.first.take(leaf + 1) - first
+    stop = np.cumsum(n)
+    step = tree.path.take(np.arange(stop[-1]) + np.repeat(first - (stop - n), n))
+    node, side = step >> 1, (step & 1).astype(bool)
+    z = tree.odds.take(node)
+    high = np.flatnonzero(node < CLASSES - 1)
+    z[high] = between.ravel().take(np.repeat(history * (CLASSES - 1), n).take(high) + node.take(high))
+    keys, shift = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
+    numbers = []
+    for context in contexts:
+        at = (((np.repeat(context, n) ^ keys) * np.uint64(0xD6E8FEB86659FD93)) >> shift).view(np.int64)
+        if slots is not None:
+            z += slots.take(at)
+        numbers.append(at)
+    return stop - n, side, z, numbers
+
+
+def each_decision(tokens: Tokens, weights: np.ndarray, tree: Tree, bits: int, slots: np.ndarray | None = None):
+    """decisions() of a slice, some tokens at a time, with the number of the first."""
+    contexts = tokens.contexts()
+    history, at = np.unique(tokens.history, return_inverse=True)
+    between = np.concatenate([tree.between(log_softmax(history[i : i + 4096], weights)) for i in range(0, len(history), 4096)])
+    for a in range(0, len(at), TOKENS):
+        part = slice(a, a + TOKENS)
+        yield a, *decisions(tokens.leaf[part], [c[part] for c in contexts], at[part], between, tree, bits, slots)
+
+
+def log_chance(side: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The log probability of the sides taken, given the log odds of side 1."""
+    x = np.where(side, -z, z)
+    return -np.maximum(x, 0) - np.log1p(np.exp(-np.abs(x)))
+
+
+def log_probability(tokens: Tokens, weights: np.ndarray, tree: Tree, slots: np.ndarray) -> np.ndarray:
+    """Of each token after its history; of rare ones, of their class."""
+    out = np.empty(len(tokens.leaf))
+    for a, first, side, z, _ in each_decision(tokens, weights, tree, len(slots).bit_length() - 1, slots):
+        out[a : a + len(first)] = np.add.reduceat(log_chance(side, z), first)
+    return out
+
+
+def train_slots(docs: DataFrame, lexicon, weights, tree, bits: int) -> np.ndarray:
+    """Weights of the decisions' features, from whole texts: a step from no weights. lexicon, weights, tree: broadcast."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # by weight, over all decisions with it: how much oftener side 1 was taken than expected (real) and the curvature (imaginary), which are added at once
+        total = np.zeros(1 << bits, np.complex128)
+        for batch in common.text_slices(batches, "text", common.SLICE_BYTES // 2):
+            tokens = Tokens(batch.column("text"), lexicon.value)
+            for _, _, side, z, numbers in each_decision(tokens, weights.value, tree.value, bits):
+                p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+                x = np.empty(len(z), np.complex128)
+                x.real, x.imag = side - p, p * (1 - p)
+                for at in numbers:
+                    np.add.at(total, at, x)
+        for i in range(0, 1 << bits, BLOCK):
+            if total[i : i + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i : i + BLOCK].astype(np.complex64).tobytes()], pa.binary())], names=["block", "total"])
+
+    def step(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.complex64).astype(np.complex128) for c in t.column("total").chunks for x in c)
+        move = total.real / (total.imag + SLOT_BOUND * np.abs(total.real) + SLOT_PRIOR)
+        return pa.table({"block": t.column("block").slice(0, 1), "total": pa.array([move.astype(np.float32).tobytes()], pa.binary())})
+
+    schema, slots = "block int, total binary", np.zeros(1 << bits, np.float32)
+    # a task's sums are of a bounded size, so there are as many tasks as cores
+    parts = docs.select("text").coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(sums, schema)
+    for r in parts.groupBy("block").applyInArrow(step, schema).toLocalIterator():  # 2 ** MOST_SLOT_BITS / BLOCK rows at most
+        slots[r.block : r.block + BLOCK] = np.frombuffer(bytes(r.total), np.float32)
+    return slots
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over whole texts; END for the ends."""
 
@@ -206,19 +375,18 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     sent = spark.sparkContext.broadcast(lexicon)
     histories = common.shared_table(count_histories(rows.where("learn"), sent), "cells")
     weights = spark.sparkContext.broadcast(train(histories))
+    tree = spark.sparkContext.broadcast(Tree.of(lexicon))
+    bits = min(max(int(total).bit_length(), LEAST_SLOT_BITS), MOST_SLOT_BITS)
+    slots = spark.sparkContext.broadcast(train_slots(rows.where("learn"), sent, weights, tree, bits))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = sent.value
-        classes = lexicon.classes()
-        mass = np.bincount(classes, weights=lexicon.counts, minlength=CLASSES)
         base = np.append(np.log10(lexicon.counts + 0.1), 0.0)  # of rare words: joined later
-        within = np.append(np.log10(lexicon.counts / mass[classes]), -np.log10(lexicon.rare_mass()))
+        in_rare = -np.log10(lexicon.rare_mass())
         for batch in common.text_slices(batches, "text"):
             tokens = Tokens(batch.column("text"), lexicon)
-            history, at = np.unique(tokens.history, return_inverse=True)
-            by_class = (log_softmax(history, weights.value) / np.log(10)).astype(np.float64)
-            lp = by_class[at, tokens.classes] + within[tokens.known]
             rare = tokens.known < 0
+            lp = log_probability(tokens, weights.value, tree.value, slots.value) / np.log(10) + in_rare * rare
             each = lambda x: np.add.reduceat(x, tokens.starts)
             n_rare = each(rare.astype(np.int64))
             of = tokens.distinct.take(pa.array(tokens.word[rare]))
