@@ -98,7 +98,7 @@ class Encoder:
     def plain(self, texts: pa.Array) -> list[np.ndarray]:
         words, ends = common.split_words(pc.utf8_lower(texts), lower=False)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() makes a scalar of each first
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         self.learn([w for w in distinct if w not in self.words])
