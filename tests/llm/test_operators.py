@@ -301,6 +301,48 @@ def test_chain_against_brute_force():
         assert math.isclose(max(map(total, runs)), max(best.values()), abs_tol=1e-9)
 
 
+def test_chain_weighs_few_steps():
+    """Matches of one diagonal are weighed against those next to them, not against all in reach, and in lots the steps are the same."""
+    u = np.arange(0, 4000, 2)
+    assert len(list(chains.steps(u, u + 7))) < 5 * len(u)
+    r = np.random.default_rng(5)
+    x, y = r.integers(0, 300, 400), r.integers(0, 300, 400)
+    order = np.lexsort((y, x))
+    whole = list(chains.steps(x[order], y[order]))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chains, "STEPS", 50)
+        assert list(chains.steps(x[order], y[order])) == whole
+
+
+def test_passages_whatever_the_order_of_seeds():
+    """A text of repeated lines has many equal chains: the rows are the same in whatever order Spark hands over the matches."""
+    r = np.random.default_rng(9)
+    lines = [r.integers(1, 1 << 31, 12).astype(np.uint32) for _ in range(3)]
+    a, b = (np.concatenate([lines[i] for i in r.integers(0, 3, 30)]) for _ in range(2))
+    (x, s), (y, t) = (chains.seeds_of(v.astype(np.uint64)) for v in (a, b))
+    x, y = (v[k] for v, k in zip((x, y), np.nonzero(s[:, None] == t[None, :])))
+    rows = []
+    for _ in range(6):
+        order = r.permutation(len(x))
+        rows.append(chains.passages_of(x[order], y[order], a, b, chains.MIN_WORDS, chains.MIN_IDENTITY))
+    assert rows[0] and all(got == rows[0] for got in rows)
+
+
+def test_matches_of_a_slice_are_rows_of_pairs(spark):
+    """A passage that stands in all texts of a slice gives a row for each pair with the first and each text, which hold all matches; not a row for each match."""
+    passage, n = words(80, 31, 10_000), 60
+    rows = [(i, " ".join(words(20, 1200 + i, 10_000) + passage + words(20, 1300 + i, 10_000)), "a") for i in range(n)]
+    passed = chains.first_pass(chains.texts_of(table(spark, rows).coalesce(1), "doc_id", "text"), 1, chains.MIN_WORDS).localCheckpoint()
+    here = chains.meet(passed.where(f"kind = {chains.MET}")).collect()
+    met = {(x.doc_id, x.source_id): x.seeds for x in here if x.source_id is not None}
+    shared = {x.doc_id: x.seeds for x in here if x.source_id is None}
+    place, later = chains.seeds_of(common.hash_strings(pa.array(passage)))[0][3:-3].tolist(), range(chains.FEW + 1, n)
+    assert len(here) == len(met) + len(shared) < 3 * n  # words about the passage may be equal by chance
+    assert all({(20 + p) << 32 | 20 + p for p in place} <= set(met[i, 0]) for i in later)
+    assert all({20 + p for p in place} <= set(shared[i]) for i in (0, *later))
+    assert all(sorted(set(v)) == v for v in (*met.values(), *shared.values()))
+
+
 def test_first_look_loses_no_pair():
     """Pairs that the first look tells apart have no passage by the whole alignment, and pairs by chance are told apart."""
     r, lost, found, gone = np.random.default_rng(4), 0, 0, 0
