@@ -35,8 +35,8 @@ MAGIC = b"QWM2"
 END_ID = 1
 #: Tokens after which a shard is closed; one document is never split.
 SHARD_TOKENS = 1 << 20
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 250_000
+#: Distinct words and pieces whose ids a worker remembers.
+CACHE_WORDS = 500_000
 #: Text bytes that are encoded at once, beside one whole text.
 SLICE_BYTES = common.SLICE_BYTES // 4
 #: The pre-tokenizer's pattern, for texts that the fast way takes.
@@ -65,7 +65,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters, self.words, self.pieces = byte_letters(), {}, {}
+        self.letters, self.words = byte_letters(), {}
         vocabulary = self.whole.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -79,21 +79,24 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
-        cut = {w: (w,) if w.isalpha() else PIECES.findall(w) for w in words}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        new = list({p for pieces in cut.values() for p in pieces if p not in self.pieces})
+        """Ids of new words. A piece is a word of its own, too."""
+        known = self.words
+        cut = {w: PIECES.findall(w) for w in words if not w.isalpha()}
+        new = {p for pieces in cut.values() for p in pieces if p not in known}
+        new.update(w for w in words if w not in cut)
+        new = list(new)
         for at in range(0, len(new), 1000):
             lot = new[at : at + 1000]
             ids = np.array(self.bare.encode(" ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in lot), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             whole, start = ids.tobytes(), 0
             for piece, end in zip(lot, (4 * ends).tolist(), strict=True):
-                self.pieces[piece] = whole[start:end]
+                known[piece] = whole[start:end]
                 start = end
-        get = self.pieces.__getitem__
+        get = known.__getitem__
         for word, pieces in cut.items():
-            self.words[word] = get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))
+            if len(pieces) > 1:
+                known[word] = b"".join(map(get, pieces))
 
     def plain(self, texts: pa.Array) -> list[np.ndarray]:
         words, ends = common.split_words(pc.utf8_lower(texts), lower=False)
@@ -102,13 +105,9 @@ class Encoder:
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         self.learn([w for w in distinct if w not in self.words])
-        found = list(map(self.words.__getitem__, distinct))
-        ids = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        of = coded.indices.to_numpy()
-        begin, size = (np.cumsum(size) - size)[of], size[of]  # of each word of the texts
-        stop = np.concatenate([[0], np.cumsum(size)])
-        out = ids[np.repeat(begin - stop[:-1], size) + np.arange(stop[-1])]
+        ids = pa.array(list(map(self.words.__getitem__, distinct)), pa.large_binary()).take(coded.indices)  # one after the other, as the words are
+        stop = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] // 4
+        out = np.frombuffer(ids.buffers()[2] or b"", "<u4", count=int(stop[-1]))
         cuts = stop[ends]
         return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 

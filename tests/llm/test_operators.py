@@ -134,6 +134,23 @@ def test_encoder_equals_library():
         assert got.tolist() == encode.whole.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_learns_pieces_as_words():
+    """A piece of a word met before is a word of its own that the model is not asked for again, and a word met before gives its ids as a piece."""
+    encode, asked = wavelet.Encoder(tokenizer_path()), []
+    bare = encode.bare
+
+    class Bare:
+        def encode(self, text, **options):
+            asked.extend(text.split(" "))
+            return bare.encode(text, **options)
+
+    encode.bare = Bare()
+    texts = ["zebra,quux'll grumble", "zebra quux grumble", "grumble-quux,zebra"]
+    for text in texts:
+        assert encode(pa.array([text]))[0].tolist() == encode.direct(text).tolist()
+    assert sorted(asked) == sorted({"zebra", ",", "quux", "'ll", "grumble", "-"})
+
+
 def test_wavelet_documents(spark, edges, nothing):
     got = wavelet.encode_documents(edges, tokenizer_path(), partitions=3, shard_tokens=500).collect()
     whole, start = wavelet.Encoder(tokenizer_path()).whole, 0
