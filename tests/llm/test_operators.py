@@ -135,7 +135,7 @@ def test_encoder_equals_library():
 
 
 def test_encoder_learns_pieces_as_words():
-    """A piece of a word met before is a word of its own that the model is not asked for again, and a word met before gives its ids as a piece."""
+    """A piece is a word of its own: the model is asked for it once, and it is remembered once."""
     encode, asked = wavelet.Encoder(tokenizer_path()), []
     bare = encode.bare
 
@@ -148,7 +148,8 @@ def test_encoder_learns_pieces_as_words():
     texts = ["zebra,quux'll grumble", "zebra quux grumble", "grumble-quux,zebra"]
     for text in texts:
         assert encode(pa.array([text]))[0].tolist() == encode.direct(text).tolist()
-    assert sorted(asked) == sorted({"zebra", ",", "quux", "'ll", "grumble", "-"})
+    assert sorted(asked) == ["'ll", "grumble", "quux", "zebra"]  # others were met in the probe
+    assert sum("grumble" in d for d in vars(encode).values() if isinstance(d, dict)) == 1
 
 
 def test_wavelet_documents(spark, edges, nothing):
