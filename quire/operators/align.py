@@ -106,8 +106,8 @@ def pairs_of(source: Column, target: Column) -> Column:
     )
 
 
-def pair_paragraphs(source: Column | str, target: Column | str) -> Column:
-    """array<struct<source, target>>: by tags if the target has them, else by order and number."""
+def pair_paragraphs(source: Column | str, target: Column | str, sanitize: bool = True) -> Column:
+    """array<struct<source, target>>: by tags if the target has them, else by order and number. sanitize: without the lines of a model's answer in which it talks to itself; not for texts in which such lines are text."""
 
     def by_tags(found: Column) -> Column:
         def build(own: Column) -> Column:
@@ -122,7 +122,7 @@ def pair_paragraphs(source: Column | str, target: Column | str) -> Column:
         untagged = once(F.struct(paragraphs(T.clean_tags(source)).alias("s"), paragraphs(T.clean_tags(clean)).alias("t")), lambda p: pairs_of(p["s"], p["t"]))
         return once(tags(clean), lambda found: F.when(F.size(found) > 0, by_tags(found)).otherwise(untagged))
 
-    return once(T.sanitize(target), build)
+    return once(T.sanitize(target) if sanitize else T.text_of(target), build)
 
 
 def quoted(x: Column) -> Column:
