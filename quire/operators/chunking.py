@@ -30,6 +30,8 @@ class Profile:
 
     splits: tuple[str, ...]
     heading: str
+    #: for each split, a pattern (or "") without which it can't match: a search for it is far cheaper than the split
+    needs: tuple[str, ...] = ()
 
 
 ARABIC = Profile(
@@ -42,12 +44,20 @@ ARABIC = Profile(
         r"(?U)(?<=[،,])\s+",
     ),
     heading=rf"{HEADINGS}(?:\s+{ORDINALS})?",
+    needs=(f"[{T.ARABIC}]", "", f"[{T.ARABIC}]", f"[{T.ARABIC}]"),
 )
 LATIN = Profile(splits=(r"(?U)(?:^|\n)(?=(?:Chapter|Section|Part)\s+(?:\d+|[IVXL]+))", r"\n{2,}", r"(?U)(?<=\s)(?=(?:However|Objection|Reply)[,:\s])", r"(?U)(?<=\s)(?=(?:Therefore|Hence|Thus)\b)", r"(?U)(?<=[.?!;])\s+", r"(?U)(?<=,)\s+"), heading=r"(?:Chapter|Section|Part)(?:\s+(?:\d+|[IVXL]+))?")
 
 
-def _parts(x: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(x, pattern), T.strip), lambda p: p != "")
+def _parts(x: Column, pattern: str, need: str = "") -> Column:
+    """A stripped text's parts."""
+    parts = F.filter(F.transform(F.split(x, pattern), T.strip), lambda p: p != "")
+    return F.when(x.rlike(need), parts).otherwise(F.array(x)) if need else parts
+
+
+def not_blank(x: Column | str) -> Column:
+    """Whether a text has units: what to ask before it is cut, as a condition on what it is cut into makes the optimizer cut it twice."""
+    return T.strip(x) != ""
 
 
 def least_chars(tokens: int) -> int:
@@ -73,8 +83,8 @@ def units(x: Column | str, max_tokens: int, profile: Profile = ARABIC) -> Column
     def cut(all_: Column, how) -> Column:
         return F.flatten(F.transform(all_, lambda u: F.when(T.token_count(u) <= max_tokens, F.array(u)).otherwise(how(u))))
 
-    for pattern in profile.splits:
-        out = cut(out, partial(_parts, pattern=pattern))
+    for i, pattern in enumerate(profile.splits):
+        out = cut(out, partial(_parts, pattern=pattern, need=profile.needs[i] if i < len(profile.needs) else ""))
     return cut(out, partial(_by_words, max_tokens=max_tokens))
 
 
@@ -122,8 +132,9 @@ def chunks(x: Column | str, max_tokens: int = 1500, overlap_tokens: int = 200, b
 def chunk_documents(docs: DataFrame, text: str = "text", max_tokens: int = 1500, overlap_tokens: int = 200, before: str | None = None, profile: Profile = ARABIC) -> DataFrame:
     """docs' other columns with chunk_index, chunk_text, token_count, prev_context, n_chunks; no row for a blank text."""
     keep = [c for c in docs.columns if c not in (text, before)]
-    rows = docs.select(*keep, chunks(text, max_tokens, overlap_tokens, None if before is None else F.col(before), profile).alias("__chunks"))
-    return rows.select(*keep, F.size("__chunks").alias("n_chunks"), F.inline("__chunks")).select(*keep, F.col("index").alias("chunk_index"), F.col("text").alias("chunk_text"), "token_count", "prev_context", "n_chunks")
+    rows = docs.where(not_blank(text)).select(*keep, chunks(text, max_tokens, overlap_tokens, None if before is None else F.col(before), profile).alias("__chunks"))
+    # outer, though each text has a chunk: for inline() the optimizer would ask for the chunks' number first, and cut each text twice
+    return rows.select(*keep, F.size("__chunks").alias("n_chunks"), F.inline_outer("__chunks")).select(*keep, F.col("index").alias("chunk_index"), F.col("text").alias("chunk_text"), "token_count", "prev_context", "n_chunks")
 
 
 def chunk_texts(docs: DataFrame, text: str = "text", max_tokens: int = 1500, profile: Profile = ARABIC) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,13 @@ DEFAULT_PAGES = 10
 
 def compatible(checkpoint: DataFrame, run: DataFrame) -> DataFrame:
     """run's rows (source_hash, total_chunks, target_lang, domain, inline_arabic, verify and others) with `compatible`: a checkpoint has the same six."""
-    same = checkpoint.select("source_hash", "total_chunks", F.lower("target_lang").alias("__lang"), F.lower("domain").alias("__domain"), "inline_arabic", "verify", F.lit(True).alias("compatible")).distinct()
-    rows = run.withColumn("__lang", F.lower("target_lang")).withColumn("__domain", F.lower("domain"))
-    out = rows.join(same, ["source_hash", "total_chunks", "__lang", "__domain", "inline_arabic", "verify"], "left")
-    return out.select(*run.columns, F.coalesce("compatible", F.lit(False)).alias("compatible"))
+    keys = ["source_hash", "total_chunks", "__lang", "__domain", "inline_arabic", "verify"]
+    lower = {"__lang": F.lower("target_lang"), "__domain": F.lower("domain")}
+    same = checkpoint.withColumns(lower).select(*[F.col(k).alias(f"__same_{k}") for k in keys], F.lit(True).alias("compatible")).distinct()
+    # null-safe, as an equal join asks both sides for keys that aren't null, and each condition on a hash makes the optimizer cut and hash the texts once more; a null is told below
+    out = run.withColumns(lower).join(same, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__same_{k}")) for k in keys]), "left")
+    told = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return out.select(*run.columns, (F.coalesce("compatible", F.lit(False)) & told).alias("compatible"))
 
 
 def remaining(chunks: DataFrame, done: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
