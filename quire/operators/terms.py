@@ -1,12 +1,19 @@
 """Glossaries and the terms that a session has learned: keyed tables with an explicit order (`seq`).
 
 glossary: lang, domain, category, arabic, target, seq. terms: arabic, target, source_chunk (-1 static, 0 preloaded, above: the chunk), seq, and `overwrite`.
+record() and flatten_glossary() also take rows with a text's terms in an array, `terms`: array<struct<arabic, target, seq>>, as a row of Spark's for each word of a corpus takes longer than what is done with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, IntegralType
 
 from quire.functions import normalize as N
 from quire.functions import text as T
@@ -28,9 +35,84 @@ def words(x: Column) -> Column:
     return F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""))
 
 
+#: Rows that ends() looks at together; of what is left of them so many are held for another look, and handed on if it does not make them half as many.
+LOOK = 1 << 20
+
+
+def _ends_of(rows: pa.Table, keys: tuple[str, ...], last: bool) -> pa.Table:
+    """Rows whose seq is the least (or, if asked for, the greatest) of their keys, ties and nulls included, and overwriting ones."""
+    code, n = np.zeros(rows.num_rows, np.int64), 1
+    for k in keys:
+        each = rows[k].combine_chunks().dictionary_encode(null_encoding="encode")
+        each = each.combine_chunks() if isinstance(each, pa.ChunkedArray) else each
+        code = code * len(each.dictionary) + each.indices.to_numpy(zero_copy_only=False)
+        n *= max(1, len(each.dictionary))
+        if n > 8 * LOOK:  # keys that don't all occur together
+            found, code = np.unique(code, return_inverse=True)
+            n = len(found)
+    seq = rows["seq"].combine_chunks()
+    null, seq = seq.is_null().to_numpy(zero_copy_only=False), seq.fill_null(0).to_numpy(zero_copy_only=False)
+    told = np.flatnonzero(~null)
+    told = told if np.all(seq[told][1:] >= seq[told][:-1]) else told[np.argsort(seq[told], kind="stable")]
+    end = np.zeros(n, seq.dtype)
+    keep = null
+    for order in (told[::-1], told) if last else (told[::-1],):
+        end[code[order]] = seq[order]  # of a code's values the last stays
+        keep = keep | (seq == end[code])
+    if "overwrite" in rows.column_names:
+        keep = keep | rows["overwrite"].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+    return rows.filter(pa.array(keep))
+
+
+def _flat(batch: pa.RecordBatch) -> pa.Table:
+    """A row for each of `terms`, null ones left out."""
+    if "terms" not in batch.schema.names:
+        return pa.Table.from_batches([batch])
+    lists = batch.column("terms")
+    parents, each = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    own = {k: batch.column(k).take(parents) for k in batch.schema.names if k != "terms"}
+    return pa.table(own | {f.name: part for f, part in zip(each.type, each.flatten(), strict=True)}).filter(each.is_valid())
+
+
+def ends(rows: DataFrame, keys: tuple[str, ...], last: bool = False) -> DataFrame:
+    """rows (flat, if in arrays) without those that are not the first of their keys by seq (or the last, if asked for) among rows that a task meets one after another: what is left has the same first and last rows.
+
+    Spark aggregates texts by sorting all rows; this passes each row once, so that few are left to be sorted. All rows are left if seq is not a whole number."""
+    flat = rows.select(*[c for c in rows.columns if c != "terms"], F.inline("terms")) if "terms" in rows.columns else rows
+    kinds = {f.name: f.dataType for f in flat.schema}
+    if not isinstance(kinds["seq"], IntegralType) or not all(isinstance(kinds[k], AtomicType) for k in keys):
+        return flat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, held, n, m = [], [], 0, 0
+        step = 512 if "terms" in rows_columns else LOOK
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            new.append(_flat(batch))
+            n += new[-1].num_rows
+            if n >= LOOK:
+                left = _ends_of(pa.concat_tables(new), keys, last)
+                held.append(left)
+                m += left.num_rows
+                new, n = [], 0
+                if m >= LOOK:
+                    left = _ends_of(pa.concat_tables(held), keys, last)
+                    if left.num_rows > LOOK // 2:
+                        yield from left.to_batches()
+                    held, m = ([], 0) if left.num_rows > LOOK // 2 else ([left], left.num_rows)
+        if new:
+            held.append(_ends_of(pa.concat_tables(new), keys, last))
+        if held:
+            yield from _ends_of(pa.concat_tables(held), keys, last).to_batches()
+
+    rows_columns = rows.columns
+    return rows.mapInArrow(run, flat.schema)
+
+
 def flatten_glossary(glossary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """arabic, target, seq (of the first), the last target of each term."""
-    return glossary.groupBy(*by, "arabic").agg(F.max_by("target", "seq").alias("target"), F.min("seq").alias("seq"))
+    given = ["terms"] if "terms" in glossary.columns else ["arabic", "target", "seq"]
+    rows = ends(glossary.select(*by, *given), (*by, "arabic"), last=True)
+    return rows.groupBy("arabic", *by).agg(F.max_by("target", "seq").alias("target"), F.min("seq").alias("seq")).select(*by, "arabic", "target", "seq")
 
 
 def prompt_glossary(glossary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -67,12 +149,26 @@ def available_glossaries(files: DataFrame) -> DataFrame:
     return files.where("lang is not null").groupBy("lang").agg(F.sort_array(F.collect_set("domain")).alias("domains"))
 
 
+def few(x: Column, most: int) -> Column:
+    # a term of one word, as most are, needs no split
+    return ~x.rlike(r"(?U)\s") | (words(x) <= most)
+
+
+def bare_target(x: Column) -> Column:
+    return F.when(F.substring(T.strip(x), -1, 1).isin(";", ",", "."), F.regexp_replace(T.strip(x), r"[;,.]+\z", "")).otherwise(T.strip(x))
+
+
+def has_target(x: Column) -> Column:
+    """Whether accepted() takes the target. Most begin with a letter and are too short for more words, which is told without a pattern."""
+    short = (F.length(x) <= 2 * MAX_TARGET_WORDS) & ~F.substring(x, 1, 1).isin("", ";", ",", ".", *T.WHITE)
+    # in a lambda, as the code for it would make the loop over rows longer than what the JVM compiles
+    return short | F.exists(F.array(x), lambda t: (bare_target(t) != "") & few(bare_target(t), MAX_TARGET_WORDS))
+
+
 def accepted(terms: DataFrame, normalize: bool = True) -> DataFrame:
     """Terms with their key in `arabic` and a trimmed target, without honorifics, sentences and blanks."""
     key = N.term_key("arabic") if normalize else T.strip(F.regexp_replace("arabic", r"(?U)\s+", " "))
-    target = F.when(F.substring(T.strip("target"), -1, 1).isin(";", ",", "."), F.regexp_replace(T.strip("target"), r"[;,.]+\z", "")).otherwise(T.strip("target"))
-    # a term of one word, as most are, needs no split
-    few = lambda x, most: ~x.rlike(r"(?U)\s") | (words(x) <= most)
+    target = bare_target(F.col("target"))
     honorific = F.exists(F.array(*map(F.lit, HONORIFICS)), lambda h: F.contains("arabic", h))
     rows = terms.withColumns({"arabic": key, "target": target})
     return rows.where((F.col("arabic") != "") & (F.col("target") != "") & few(F.col("arabic"), MAX_SOURCE_WORDS) & few(F.col("target"), MAX_TARGET_WORDS) & ~(has_arabic(F.col("arabic")) & honorific))
@@ -82,8 +178,10 @@ def record(terms: DataFrame, known: DataFrame | None = None, by: tuple[str, ...]
     """The memory after all terms, in order of seq: by, arabic, target, source_chunk, seq, is_new.
 
     The first of a key stays, unless a later one overwrites it; an overwriting term keeps the key's place. known: the memory before.
-    All of it is partial aggregation: a key's first term and its last overwriting one, so a word that stands everywhere is one row from each task."""
-    rows = accepted(terms, normalize)
+    All of it is partial aggregation: a key's first term and its last overwriting one, so a word that stands everywhere is one row from each task.
+    What accepted() tells of a term's key is told of the rows that are left, as it is the same for equal words."""
+    some = terms.withColumn("terms", F.filter("terms", lambda t: has_target(t["target"]))) if "terms" in terms.columns else terms.where(has_target(F.col("target")))
+    rows = accepted(ends(some, (*by, "arabic")), normalize)
     if "overwrite" not in rows.columns:
         rows = rows.withColumn("overwrite", F.lit(None).cast("boolean"))
     rows = rows.select(*by, "arabic", "target", "source_chunk", "seq", "overwrite", F.lit(1).alias("__new"))
@@ -91,7 +189,7 @@ def record(terms: DataFrame, known: DataFrame | None = None, by: tuple[str, ...]
         rows = known.select(*by, "arabic", "target", "source_chunk", "seq", F.lit(None).cast("boolean").alias("overwrite"), F.lit(0).alias("__new")).unionByName(rows)
     term = F.struct("__new", "seq", "target", "source_chunk")  # old before new, then in order
     first, over = F.min(term).alias("__first"), F.max(F.when(F.col("overwrite"), term)).alias("__over")
-    out = rows.groupBy(*by, "arabic").agg(first, over)
+    out = rows.groupBy("arabic", *by).agg(first, over)  # sorted by words first, which differ sooner
     last = F.coalesce("__over", "__first")
     return out.select(*by, "arabic", last["target"].alias("target"), last["source_chunk"].alias("source_chunk"), F.col("__first.seq").alias("seq"), (F.col("__first.__new") == 1).alias("is_new"))
 
