@@ -76,12 +76,12 @@ def classify(blocks: DataFrame, pages: DataFrame, dividers: DataFrame | None = N
     rubric = F.lit(options.exclude_margin_rubrics) & outer & (ribbon | contains_any(F.col("text"), RUBRIC_WORDS))
     rows = rows.withColumn("__margin", margin).withColumn("__rubric", rubric)
     if dividers is not None and options.separate_footnotes:
-        flagged = below_divider(rows, dividers, keys).select(*keys, "block_no", F.lit(True).alias("__under"))
-        lined = dividers.select(*keys).distinct().withColumn("__lined", F.lit(True))
-        rows = rows.join(flagged, [*keys, "block_no"], "left").join(lined, keys, "left")
+        # a page's few dividers go to its blocks in an array: a join by block would compute, sort and move all blocks twice
+        lines = dividers.groupBy(*keys).agg(F.collect_list(F.struct("lx0", "lx1", "ly")).alias("__lines"))
+        under = F.exists("__lines", lambda d: (F.col("y0") >= d["ly"] - 4) & ~((F.col("x1") < d["lx0"] - 15) | (F.col("x0") > d["lx1"] + 15)))
+        rows = rows.join(lines, keys, "left").withColumn("__under", F.coalesce(under, F.lit(False))).withColumn("__lined", F.col("__lines").isNotNull()).drop("__lines")
     else:
         rows = rows.withColumn("__under", F.lit(False)).withColumn("__lined", F.lit(False))
-    rows = rows.withColumn("__under", F.coalesce("__under", F.lit(False))).withColumn("__lined", F.coalesce("__lined", F.lit(False)))
     right = F.bool_or((F.col("x0") > share("w", 50)) & (F.col("x1") > share("w", 70))).over(page)
     left = F.bool_or((F.col("x1") < share("w", 50)) & (F.col("x0") < share("w", 30))).over(page)
     across = F.bool_or((F.col("x0") < share("w", 25)) & (F.col("x1") > share("w", 75))).over(page)
@@ -89,8 +89,9 @@ def classify(blocks: DataFrame, pages: DataFrame, dividers: DataFrame | None = N
     # columns from the right, each downward; or bands of 12 points, each from the right
     first = F.when(F.col("multi_column"), F.when(F.col("x0") > share("w", 45), 0.0).otherwise(1.0)).otherwise(F.bround(F.col("y0") / 12.0, 0))
     second = F.when(F.col("multi_column"), F.col("y0")).otherwise(-F.col("x0"))
-    order = Window.partitionBy(*keys).orderBy(first, second, "block_no")
-    rows = rows.withColumn("ord", F.row_number().over(order))
+    # the order's parts are columns, so that both windows share one sort
+    rows = rows.withColumn("__first", first).withColumn("__second", second)
+    order = Window.partitionBy(*keys).orderBy("__first", "__second", "block_no")
     marked = F.substring("text", 1, 25).rlike(FOOTNOTE_MARK) | F.when(F.length("text") > 25, F.substring(F.col("text"), F.length("text") - 24, F.lit(25)).rlike(FOOTNOTE_MARK)).otherwise(False)
     size = F.coalesce("font_size", F.lit(12.0))
     citation = (F.col("__typical") > 13) & (size > 0) & (size < F.col("__typical") * 0.8) & contains_any(F.col("text"), CITATION_WORDS)
@@ -98,7 +99,7 @@ def classify(blocks: DataFrame, pages: DataFrame, dividers: DataFrame | None = N
     rows = rows.withColumn("__hit", candidate & (marked | citation)).withColumn("__may", candidate)
     earlier = F.max("__hit").over(order.rowsBetween(Window.unboundedPreceding, -1))
     note = F.col("__under") | F.col("__hit") | (F.col("__may") & ~F.col("multi_column") & F.coalesce(earlier, F.lit(False)))
-    rows = rows.withColumn("__note", note)
+    rows = rows.withColumns({"ord": F.row_number().over(order), "__note": note})
     kind = F.when(F.col("__rubric"), "rubric").when(F.col("__margin"), "margin").when(F.col("__note"), "footnote").otherwise("body")
     return rows.select(*keys, "block_no", "text", kind.alias("kind"), "ord", "multi_column")
 
